@@ -1,0 +1,5 @@
+"""Empty on purpose: every operator of this library is a batch job.
+
+There is no watermark, streaming window or state to offer; the 30-day window of
+``operators.engagement`` runs over stored events.
+"""

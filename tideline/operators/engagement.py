@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.dates import day_of, is_midnight, week_of
+from tideline.functions.dates import day_of, distinct_sorted, is_midnight, week_of
 from tideline.functions.ratios import ratio
 
 
@@ -30,58 +30,57 @@ def daily_activity(
     the ``days`` calendar days up to and including d instead. Days without any
     event, and days whose window is empty, have no row.
 
-    There is no join of days with events. A user's day keeps the user inside the
-    window over one run of days, ``enters`` to ``leaves - 1``. Per user, runs that
-    overlap or touch are merged by looking at the neighbouring day only; every
-    merged run adds one at its start and takes one off at its end, and a running
-    sum over days gives the users of each window. The work is one row per (user,
-    day), whatever the window length. Three bounds hold for any skew: events are
-    reduced map-side to distinct (user, day), a user's window partition has at
-    most one row per calendar day, and so has the unpartitioned running sum.
+    There is no join of days with events. An event at midnight or during day d puts
+    its user into the windows of ``days`` days from the next midnight on. A user's
+    distinct marks are collected in order, two per day at most; where a mark follows
+    the one before within ``days``, both belong to one stay. A stay adds one user at
+    its first day and takes one off after its last, and a running sum over days gives
+    the users of each window. The work is one mark per (user, day) for any window
+    length, and one user's marks, like the unpartitioned running sum, are bounded by
+    the calendar however many events there are.
     """
     at = F.col(ts).cast("timestamp_ntz")
-    user_days = (
+    day_number = F.unix_date(day_of(at))
+    # Twice the day, plus one after midnight: half up it is the first window's day.
+    after_midnight = F.lit(0) if include_current_day else F.when(is_midnight(at), 0).otherwise(1)
+    marks = (
         events.filter(F.col(ts).isNotNull())
-        .groupBy(F.col(user).alias("user_id"), day_of(at).alias("day"))
-        .agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+        .groupBy(F.col(user).alias("user_id"))
+        .agg(distinct_sorted(2 * day_number + after_midnight).alias("marks"))
     )
-    if include_current_day:
-        enters, leaves = F.col("day"), F.date_add("day", days)
-    else:
-        next_day = F.date_add("day", 1)
-        enters = F.when(is_midnight("first_at"), F.col("day")).otherwise(next_day)
-        last_start = F.when(is_midnight("last_at"), F.col("day")).otherwise(next_day)
-        leaves = F.date_add(last_start, days)
-    in_order = Window.partitionBy("user_id").orderBy("day")
-    runs = (
-        user_days.select("user_id", "day", enters.alias("enters"), leaves.alias("leaves"))
-        .withColumn("left_before", F.lag("leaves").over(in_order))
-        .withColumn("enters_next", F.lead("enters").over(in_order))
-    )
-    starts_run = F.col("left_before").isNull() | (F.col("left_before") < F.col("enters"))
-    ends_run = F.col("enters_next").isNull() | (F.col("enters_next") > F.col("leaves"))
-    # Rows without a user open a window for their days but are not users.
-    counted = F.when(F.col("user_id").isNotNull(), 1).otherwise(0)
-
-    def change(day, present, step):
-        return F.struct(
-            day.alias("activity_day"),
-            F.lit(present).alias("present"),
-            (counted * present).alias("users"),
-            F.lit(step).alias("open_step"),
-            (counted * step).alias("user_step"),
-        )
-
-    changes = runs.select(
+    neighbours = marks.select(
+        # Rows without a user open windows but count no user.
+        F.when(F.col("user_id").isNotNull(), 1).otherwise(0).alias("counts"),
         F.inline(
-            F.array_compact(
-                F.array(
-                    change(F.col("day"), 1, 0),
-                    F.when(starts_run, change(F.col("enters"), 0, 1)),
-                    F.when(ends_run, change(F.col("leaves"), 0, -1)),
-                )
+            F.arrays_zip(
+                F.col("marks").alias("mark"),
+                F.concat(F.array(F.lit(None).cast("int")), F.col("marks")).alias("before"),
+                F.slice("marks", 2, F.size("marks")).alias("next"),
             )
+        ),
+    ).filter(F.col("mark").isNotNull())
+
+    def day(mark: str) -> Column:
+        return F.shiftright(mark, 1)
+
+    def enters(mark: str) -> Column:
+        return F.shiftright(F.col(mark) + 1, 1)
+
+    new_day = F.col("before").isNull() | (day("before") < day("mark"))
+    starts = F.col("before").isNull() | (enters("before") + days < enters("mark"))
+    ends = F.col("next").isNull() | (enters("mark") + days < enters("next"))
+    zero, one, counts = F.lit(0), F.lit(1), F.col("counts")
+    changes = (
+        neighbours.select(
+            F.stack(
+                F.lit(3),
+                *(F.when(new_day, day("mark")), one, counts, zero, zero),
+                *(F.when(starts, enters("mark")), zero, zero, one, counts),
+                *(F.when(ends, enters("mark") + days), zero, zero, -one, -counts),
+            ).alias("day_number", "present", "users", "open_step", "user_step")
         )
+        .filter(F.col("day_number").isNotNull())
+        .withColumn("activity_day", F.date_from_unix_date("day_number"))
     )
     by_day = changes.groupBy("activity_day").agg(
         F.max("present").alias("present"),

@@ -39,26 +39,19 @@ def step_funnel(
 ) -> DataFrame:
     """Distinct users per step, as % of the first step and of the step before.
 
-    One scan reduces events to one row per (event, user), with a flag for an
-    approved check; the steps are then counted side by side and unpivoted. No row
-    is duplicated for the check, which feeds two steps. A step nobody reached is
-    left out, except the approved check, which always has a row.
+    One scan and one shuffle reduce events to a row of flags per user, which are
+    counted side by side and unpivoted; no event is duplicated for the check, which
+    feeds two steps. A step nobody reached is left out, except the approved check,
+    which always has a row.
     """
+    is_step = {step: F.col(event) == step for step in STEP_EVENTS}
+    is_step[APPROVED] = is_step[CHECK_EVENT] & (F.col(check_result) == APPROVED)
     reached = (
         events.filter(F.col(event).isin(*STEP_EVENTS) & F.col(user).isNotNull())
-        .groupBy(F.col(event).alias("event_name"), F.col(user).alias("user_id"))
-        .agg(F.max(F.col(check_result) == APPROVED).alias("approved"))
-    )
-    users = reached.agg(
-        *[
-            F.count_if(
-                (F.col("event_name") == CHECK_EVENT) & F.col("approved")
-                if step == APPROVED
-                else F.col("event_name") == step
-            ).alias(step)
-            for step in FUNNEL_STEPS
-        ]
+        .groupBy(user)
+        .agg(*[F.bool_or(is_step[step]).alias(step) for step in FUNNEL_STEPS])
     )
+    users = reached.agg(*[F.count_if(step).alias(step) for step in FUNNEL_STEPS])
     steps = users.select(
         F.inline(
             F.array(

@@ -1,0 +1,161 @@
+import pytest
+
+from tideline.operators import metrics
+
+# Published channel figures: (channel, month, new users, cost, cost per new user).
+PUBLISHED = [
+    ("organico", "2024-01", 485, 1616.39, 3.33),
+    ("pagado", "2024-01", 361, 17623.51, 48.82),
+    ("referido", "2024-01", 150, 2290.48, 15.27),
+    ("organico", "2024-02", 501, 1303.87, 2.6),
+    ("pagado", "2024-02", 352, 14887.73, 42.29),
+    ("referido", "2024-02", 124, 1916.57, 15.46),
+    ("organico", "2024-03", 511, 1315.33, 2.57),
+    ("pagado", "2024-03", 341, 17657.75, 51.78),
+    ("referido", "2024-03", 149, 2753.8, 18.48),
+    ("organico", "2024-04", 18, 64.03, 3.56),
+    ("pagado", "2024-04", 4, 171.99, 43.0),
+    ("referido", "2024-04", 4, 72.41, 18.1),
+]
+
+
+@pytest.fixture
+def costs(spark):
+    rows = [(channel, month, str(cost)) for channel, month, _, cost, _ in PUBLISHED]
+    return spark.createDataFrame(rows, "channel string, month string, acquisition_cost_pen string")
+
+
+@pytest.fixture
+def signups(events):
+    return events(
+        *(
+            (f"{channel}-{month}-{i}", "signup", f"{month}-{1 + i % 28:02d} 10:00:00", None, None, None, channel)
+            for channel, month, users, _, _ in PUBLISHED
+            for i in range(users)
+        )
+    )
+
+
+def test_published_acquisition_cost(signups, costs):
+    assert [tuple(row) for row in metrics.cac(signups, costs).collect()] == PUBLISHED
+
+
+def test_cost_needs_both_sides(events, costs):
+    frame = events(
+        ("a", "signup", "2024-01-05 00:00:00", None, None, None, "organico"),
+        ("b", "signup", "2025-01-05 00:00:00", None, None, None, "organico"),
+        ("c", "signup", "2024-01-05 00:00:00", None, None, None, None),
+    )
+    assert [(r.channel, r.month, r.cac_pen) for r in metrics.cac(frame, costs).collect()] == [
+        ("organico", "2024-01", 1616.39)
+    ]
+
+
+def test_published_value_to_cost(events, signups, costs):
+    # One month, one user, 276.89 spent: the published lifetime value.
+    paid = events(("u", "first_transaction", "2024-01-01 00:00:00", 276.89))
+    rows = metrics.ltv_to_cac(signups.unionByName(paid), costs).collect()
+    assert [tuple(row) for row in rows] == [
+        ("organico", 2.84, 276.89, 97.56),
+        ("referido", 16.47, 276.89, 16.81),
+        ("pagado", 47.58, 276.89, 5.82),
+    ]
+
+
+def checks(events, *rows):
+    return events(*((None, "complete_kyc", None, None, None, result, channel) for channel, result in rows))
+
+
+def test_checks_per_channel_and_in_total(events):
+    frame = checks(
+        events,
+        ("b", "kyc_approved"),
+        ("a", "kyc_rejected"),
+        ("a", "kyc_approved"),
+        ("a", None),
+        (None, "kyc_approved"),
+    )
+    assert [tuple(row) for row in metrics.kyc_rates(frame).collect()] == [
+        ("a", 3, 1, 1, 33.33, 33.33),
+        ("b", 1, 1, 0, 100.0, 0.0),
+        (None, 1, 1, 0, 100.0, 0.0),  # unknown channel, before the total
+        (None, 5, 3, 1, 60.0, 20.0),
+    ]
+
+
+def test_total_of_no_checks_is_still_there(events):
+    frame = events(("a", "signup", "2024-01-01 00:00:00"))
+    assert [tuple(row) for row in metrics.kyc_rates(frame).collect()] == [(None, 0, None, None, None, None)]
+
+
+@pytest.fixture
+def paid(events):
+    return events(
+        ("a", "first_transaction", "2024-01-31 23:59:59", 10.0, True),
+        ("a", "repeat_transaction", "2024-02-01 00:00:00", 20.05, False),
+        ("b", "first_transaction", "2024-02-10 00:00:00", 0.1, None),
+        ("b", "repeat_transaction", "2024-02-11 00:00:00", 0.2, False),
+        ("c", "signup", "2024-02-11 00:00:00", 99.0, True),
+    )
+
+
+def test_monthly_transactions(paid):
+    rows = sorted(tuple(row) for row in metrics.monthly_transactions(paid).drop("is_fraud").collect())
+    assert rows == [("2024-01", "a", 10.0), ("2024-02", "a", 20.05), ("2024-02", "b", 0.1), ("2024-02", "b", 0.2)]
+
+
+def test_payment_volume(paid):
+    assert [tuple(row) for row in metrics.tpv(paid).collect()] == [
+        ("2024-01", 10.0, 1, 10.0),
+        ("2024-02", 20.35, 3, 6.78),
+    ]
+
+
+def test_revenue_per_user(paid):
+    assert [tuple(row) for row in metrics.arpu(paid).collect()] == [
+        ("2024-01", 10.0, 1, 10.0),
+        ("2024-02", 20.35, 2, 10.18),
+    ]
+
+
+def test_missing_amounts_are_no_ticket(events):
+    frame = events(
+        ("a", "first_transaction", "2024-01-01 00:00:00", 10.0),
+        ("a", "repeat_transaction", "2024-01-01 00:00:00", None),
+    )
+    assert [tuple(row) for row in metrics.tpv(frame).collect()] == [("2024-01", 10.0, 2, 10.0)]
+
+
+def test_lifetime_value_multiplies_the_two_means(paid):
+    (row,) = metrics.ltv(paid).collect()
+    # Revenue per user 10 and 10.175; users active 2 and 1 months.
+    assert tuple(row) == (
+        10.09,
+        1.5,
+        15.13,
+        "Aproximacion: ventana de datos de 6 meses, no cohorte madura",
+    )
+
+
+def test_published_mean_revenue(events):
+    rates = [98.03, 135.43, 146.05, 180.11, 177.9, 128.21]
+    frame = events(
+        *((f"u{i}", "first_transaction", f"2024-{i + 1:02d}-01 00:00:00", rate) for i, rate in enumerate(rates))
+    )
+    (row,) = metrics.ltv(frame).collect()
+    assert (row.arpu_promedio_pen, row.retencion_promedio_meses) == (144.29, 1.0)
+
+
+def test_fraud_rate_takes_unknown_for_honest(paid):
+    assert [tuple(row) for row in metrics.fraud_rate(paid).collect()] == [
+        ("2024-01", 1, 1, 100.0),
+        ("2024-02", 3, 0, 0.0),
+    ]
+
+
+def test_published_fraud_rates(spark):
+    from tideline.functions.ratios import percent
+
+    rows = spark.createDataFrame([(8, 340), (15, 840), (23, 1129), (13, 866), (2, 400), (1, 80)], "f int, n int")
+    rates = [row[0] for row in rows.select(percent("f", "n", 3)).collect()]
+    assert rates == [2.353, 1.786, 2.037, 1.501, 0.5, 1.25]

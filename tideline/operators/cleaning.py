@@ -43,10 +43,23 @@ def normalize_retail_columns(source: DataFrame) -> DataFrame:
     return renamed
 
 
-def _number(name: str) -> Column:
-    """Double value with NaN, the mark of a missing number, as NULL."""
-    value = F.col(name).cast("double")
-    return F.when(~F.isnan(value), value)
+def _with_numbers(source: DataFrame) -> DataFrame:
+    """Normalized lines with numeric columns as doubles, NULL where missing.
+
+    Blank text and NaN are the marks of a missing number; other text that is no
+    number raises.
+    """
+    lines = normalize_retail_columns(source)
+    types = dict(lines.dtypes)
+
+    def number(name: str) -> Column:
+        column = F.col(name)
+        if types[name] == "string":
+            column = F.nullif(F.trim(column), F.lit(""))
+        value = column.cast("double")
+        return F.when(~F.isnan(value), value)
+
+    return lines.withColumns({name: number(name) for name in ("Quantity", "UnitPrice", "CustomerID")})
 
 
 def _first_failed_rule() -> Column:
@@ -55,11 +68,10 @@ def _first_failed_rule() -> Column:
     A missing quantity or price breaks no rule: only values known to be zero or
     less are noise.
     """
-    noise = (_number("Quantity") <= 0) | (_number("UnitPrice") <= 0)
     return (
-        F.when(_number("CustomerID").isNull(), NO_CUSTOMER)
+        F.when(F.col("CustomerID").isNull(), NO_CUSTOMER)
         .when(F.col("InvoiceNo").cast("string").startswith("C"), CANCELLED)
-        .when(noise, NOT_POSITIVE)
+        .when((F.col("Quantity") <= 0) | (F.col("UnitPrice") <= 0), NOT_POSITIVE)
     )
 
 
@@ -69,20 +81,20 @@ def clean_retail(source: DataFrame, date_format: str | None = None) -> DataFrame
     Adds ``TotalPrice``. Text dates are read as ISO unless ``date_format`` gives
     a pattern; text that is no number or date raises.
     """
-    lines = normalize_retail_columns(source)
+    lines = _with_numbers(source).filter(_first_failed_rule().isNull())
     if date_format is None:
         sold_at = F.col("InvoiceDate").cast("timestamp_ntz")
     else:
         sold_at = F.to_timestamp_ntz(F.col("InvoiceDate"), F.lit(date_format))
-    typed = {
-        "InvoiceNo": F.col("InvoiceNo").cast("string"),
-        "Quantity": _number("Quantity").cast("int"),
-        "InvoiceDate": sold_at,
-        "UnitPrice": _number("UnitPrice"),
-        "CustomerID": _number("CustomerID").cast("int"),
-        "TotalPrice": _number("Quantity") * _number("UnitPrice"),
-    }
-    return lines.filter(_first_failed_rule().isNull()).withColumns(typed)
+    return lines.withColumns(
+        {
+            "InvoiceNo": F.col("InvoiceNo").cast("string"),
+            "Quantity": F.col("Quantity").cast("int"),
+            "InvoiceDate": sold_at,
+            "CustomerID": F.col("CustomerID").cast("int"),
+            "TotalPrice": F.col("Quantity") * F.col("UnitPrice"),
+        }
+    )
 
 
 def clean_retail_stats(source: DataFrame) -> DataFrame:
@@ -91,7 +103,7 @@ def clean_retail_stats(source: DataFrame) -> DataFrame:
     The rules apply in turn, so a line counts only for the first it breaks. One
     pass: each line is tagged once and the tags are counted.
     """
-    tagged = normalize_retail_columns(source).select(_first_failed_rule().alias("rule"))
+    tagged = _with_numbers(source).select(_first_failed_rule().alias("rule"))
     counted = tagged.agg(
         F.count("*").alias(ROWS_IN),
         *[F.count_if(F.col("rule") == rule).alias(rule) for rule in (NO_CUSTOMER, CANCELLED, NOT_POSITIVE)],

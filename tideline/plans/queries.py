@@ -35,7 +35,7 @@ def retail_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.count("*").alias("lines"),
             F.count_distinct("invoice_no").alias("invoices"),
-            F.count_distinct("customer_id").alias("customers"),
+            F.max("customer_id").alias("last_customer"),
             F.sum("quantity").alias("units"),
             F.min("invoice_date").alias("first_invoice"),
             F.max("description").alias("last_description"),

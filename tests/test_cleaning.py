@@ -112,3 +112,8 @@ def test_stats_of_nothing(source):
 def test_malformed_numbers_raise(source):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         clean_retail(source(line(customer="abc"), c="string")).collect()
+
+
+def test_fractional_quantities_raise(source):
+    with pytest.raises(Exception, match="not a whole number"):
+        clean_retail(source(line(quantity=2.5), q="double")).collect()

@@ -16,7 +16,7 @@ from tideline.operators.product import step_funnel, step_times
 from tideline.plans import mappings
 
 SMALL = f"{harness.TESTDATA}/sf0.001"
-SINKS = {"retail_csv_roundtrip", "events_parquet_roundtrip"}
+SINKS = {name for name in contract.queries() if name.endswith("_roundtrip")}
 
 
 def shuffles(plan, partitioning="hashpartitioning"):

@@ -79,20 +79,25 @@ def clean_retail(source: DataFrame, date_format: str | None = None) -> DataFrame
     """Lines of known customers that are neither cancelled nor non-positive.
 
     Adds ``TotalPrice``. Text dates are read as ISO unless ``date_format`` gives
-    a pattern; text that is no number or date raises.
+    a pattern. Text that is no number or date raises, as does a fractional quantity,
+    for which the curated table has no type.
     """
     lines = _with_numbers(source).filter(_first_failed_rule().isNull())
     if date_format is None:
         sold_at = F.col("InvoiceDate").cast("timestamp_ntz")
     else:
         sold_at = F.to_timestamp_ntz(F.col("InvoiceDate"), F.lit(date_format))
+    quantity = F.col("Quantity")
+    units = F.when(
+        quantity != F.floor(quantity), F.raise_error(F.lit("Quantity is not a whole number"))
+    ).otherwise(quantity.cast("int"))
     return lines.withColumns(
         {
             "InvoiceNo": F.col("InvoiceNo").cast("string"),
-            "Quantity": F.col("Quantity").cast("int"),
+            "Quantity": units,
             "InvoiceDate": sold_at,
             "CustomerID": F.col("CustomerID").cast("int"),
-            "TotalPrice": F.col("Quantity") * F.col("UnitPrice"),
+            "TotalPrice": quantity * F.col("UnitPrice"),
         }
     )
 

@@ -114,7 +114,7 @@ def raw_product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("user_id"),
         "channel",
         "event_name",
-        F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_timestamp"),
+        F.col("event_timestamp").cast("string").alias("event_timestamp"),
         text("amount"),
         text("is_fraud"),
         text("kyc_result"),

@@ -443,14 +443,23 @@ SELECT CAST(user_id AS VARCHAR) AS user_id, channel, event_name,
        CAST(year(event_timestamp) AS VARCHAR) AS year,
        CAST(month(event_timestamp) AS VARCHAR) AS month
 FROM pe
+""",
+    "retail_sources_roundtrip": f"""
+WITH {RETAIL}
+SELECT country AS "Country", count(*) AS lines, count(*) FILTER (year(sold_at) < 1998) AS described,
+       CAST(sum(quantity) AS BIGINT) AS units, max(sold_at) AS last_invoice,
+       {_rounded(_sum('total'), 2)} AS revenue
+FROM kept GROUP BY 1
 """,
     "retail_csv_roundtrip": f"""
 WITH {RETAIL}
 SELECT CAST(year(sold_at) AS VARCHAR) AS year, CAST(month(sold_at) AS VARCHAR) AS month,
        count(*) AS lines, count(DISTINCT invoice) AS invoices, CAST(max(customer) AS INTEGER) AS last_customer,
        CAST(sum(quantity) AS BIGINT) AS units, min(sold_at) AS first_invoice,
-       max(description) AS last_description, {_rounded('sum(total)', 2)} AS revenue
+       max(description) AS last_description, {_rounded(_sum('total'), 2)} AS revenue
 FROM kept GROUP BY 1, 2
 """,
     "events_parquet_roundtrip": f"WITH {PRODUCT_EVENTS}, {_STEP_FUNNEL}",
 }
+
+ORACLE["export_roundtrip"] = ORACLE["cohort_matrix"]

@@ -14,8 +14,10 @@ from tideline.plans.storage import shared_folder
 from tideline.sources import (
     curate_product_events,
     curate_retail,
+    export_csv,
     read_curated,
     read_raw,
+    read_retail_source,
     write_curated,
     write_raw,
 )
@@ -52,6 +54,38 @@ def events_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product.step_funnel(read_curated(spark, f"{folder}/curated", "product_events"))
 
 
+def retail_sources_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two uncleaned exports, one without descriptions, read back and cleaned."""
+    folder = shared_folder(spark)
+    lines = mappings.retail_source(spark, sf_dir)
+    text = {"header": "true", "encoding": "ISO-8859-1", "escape": '"'}
+    older = F.col("InvoiceDate") < F.lit("1998-01-01").cast("date")
+    lines.filter(older).write.options(**text).csv(f"{folder}/older")
+    newer = ~older | F.col("InvoiceDate").isNull()
+    lines.filter(newer).drop("Description").write.options(**text).csv(f"{folder}/newer")
+    source = read_retail_source(spark, [f"{folder}/older", f"{folder}/newer"])
+    return (
+        cleaning.clean_retail(source)
+        .groupBy("Country")
+        .agg(
+            F.count("*").alias("lines"),
+            F.count("Description").alias("described"),
+            F.sum("Quantity").alias("units"),
+            F.max("InvoiceDate").alias("last_invoice"),
+            F.round(steady_sum("TotalPrice"), 2).alias("revenue"),
+        )
+    )
+
+
+def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort matrix through a result file."""
+    path = f"{shared_folder(spark)}/cohorts"
+    export_csv(cohorts.cohort_matrix(mappings.transactions(spark, sf_dir)), path)
+    columns = "cohort_month STRING, month_number BIGINT, cohort_customers BIGINT, active_customers BIGINT, pct_retained DOUBLE"
+    exported = spark.read.schema(columns).csv(path, header=True)
+    return exported.withColumn("cohort_month", F.to_date(F.substring("cohort_month", 1, 10)))
+
+
 def _curated_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = cleaning.clean_retail(mappings.retail_source(spark, sf_dir))
     return curate_retail(
@@ -60,7 +94,7 @@ def _curated_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("StockCode").alias("stock_code"),
             F.col("Description").alias("description"),
             F.col("Quantity").cast("string").alias("quantity"),
-            F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss").alias("invoice_date"),
+            F.col("InvoiceDate").cast("string").alias("invoice_date"),
             F.col("UnitPrice").cast("string").alias("unit_price"),
             F.col("CustomerID").cast("string").alias("customer_id"),
             F.col("Country").alias("country"),
@@ -122,8 +156,10 @@ QUERIES: dict[str, Query] = {
     "clean_retail_stats": _query(cleaning.clean_retail_stats, mappings.retail_source),
     "curate_retail": _curated_retail,
     "curate_product_events": _query(curate_product_events, mappings.raw_product_events),
+    "retail_sources_roundtrip": retail_sources_roundtrip,
     "retail_csv_roundtrip": retail_csv_roundtrip,
     "events_parquet_roundtrip": events_parquet_roundtrip,
+    "export_roundtrip": export_roundtrip,
 }
 
 

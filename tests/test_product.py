@@ -93,6 +93,18 @@ def test_times_use_first_events_and_signed_whole_minutes(events):
     }
 
 
+def test_times_do_not_depend_on_the_session_time_zone(spark, events):
+    # 02:30 does not exist in New York on that day.
+    frame = events(("a", "signup", "2024-03-10 02:30:00"), ("a", "login", "2024-03-10 06:30:00"))
+    zone = "spark.sql.session.timeZone"
+    before = spark.conf.get(zone)
+    spark.conf.set(zone, "America/New_York")
+    try:
+        assert step_times(frame).first().horas_signup_a_login == 4.0
+    finally:
+        spark.conf.set(zone, before)
+
+
 def test_users_per_event(events):
     frame = events(("a", "signup", T), ("a", "signup", T), ("b", "signup", T), ("a", "repeat_transaction", T))
     assert {tuple(row) for row in users_per_event(frame).collect()} == {

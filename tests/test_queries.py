@@ -52,6 +52,21 @@ def test_query_equals_sql_on_more_rows(spark, middle, name):
     assert harness.spark_result(frame) == harness.duck_result(middle, contract.oracle_sql()[name])
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["first_purchase", "acquisition_funnel", "stickiness_weekly", "step_times", "cac", "curate_product_events"],
+)
+def test_results_do_not_depend_on_the_session_time_zone(spark, small, name):
+    zone = "spark.sql.session.timeZone"
+    before = spark.conf.get(zone)
+    spark.conf.set(zone, "Pacific/Auckland")
+    try:
+        result = harness.spark_result(contract.queries()[name](spark, SMALL))
+    finally:
+        spark.conf.set(zone, before)
+    assert result == harness.duck_result(small, contract.oracle_sql()[name])
+
+
 def test_entry_is_the_acquisition_funnel(spark):
     (row,) = contract.entry(spark).collect()
     assert row.clientes_adquiridos == 150

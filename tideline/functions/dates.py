@@ -36,6 +36,17 @@ def months_between_starts(first: Column | str, second: Column | str) -> Column:
     return (years * 12 + F.month(second) - F.month(first)).cast("bigint")
 
 
+def whole_minutes(start: Column | str, end: Column | str) -> Column:
+    """Signed whole minutes from one local time to another, cut towards zero.
+
+    Subtracts local times; ``timestamp_diff`` would first place them in the session
+    time zone, where a time skipped by daylight saving moves by an hour.
+    """
+    first = (F.col(start) if isinstance(start, str) else start).cast("timestamp_ntz")
+    last = (F.col(end) if isinstance(end, str) else end).cast("timestamp_ntz")
+    return (last - first).cast("interval minute").cast("bigint")
+
+
 def is_midnight(ts: Column | str) -> Column:
     column = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
     return column == column.cast("date").cast("timestamp_ntz")

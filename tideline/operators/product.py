@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.dates import whole_minutes
 from tideline.functions.ratios import percent
 
 # Events of the funnel, in order.
@@ -96,7 +97,7 @@ def step_times(
     )
     return firsts.agg(
         *[
-            F.round(F.avg(F.timestamp_diff("MINUTE", F.col(start), F.col(end))) / 60.0, 2).alias(
+            F.round(F.avg(whole_minutes(start, end)) / 60.0, 2).alias(
                 f"horas_{start}_a_{end}"
             )
             for start, end in zip(STEP_EVENTS, STEP_EVENTS[1:])

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 
-def final_plan(frame) -> str:
-    """Physical plan after adaptive execution has run it."""
-    frame.collect()
+def executed(frame) -> str:
+    """Physical plan of a frame that adaptive execution has already run."""
     text = frame._jdf.queryExecution().executedPlan().toString()
     return text.split("+- == Initial Plan ==")[0]
 
 
+def final_plan(frame) -> str:
+    frame.collect()
+    return executed(frame)
+
+
 def planned(frame) -> str:
+    """Physical plan before it runs."""
     return frame._jdf.queryExecution().executedPlan().toString()

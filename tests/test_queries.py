@@ -2,8 +2,10 @@
 
 import harness
 import pytest
+from plans import executed
 
 import __spark_entry__ as contract
+from tideline.operators.results import RESULT_COLUMNS
 
 SMALL = f"{harness.TESTDATA}/sf0.001"
 MIDDLE = f"{harness.TESTDATA}/sf0.01"
@@ -35,12 +37,18 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_equals_sql(spark, small, name):
+    """Values, names and types; and the plan that gave them."""
     frame = contract.queries()[name](spark, SMALL)
     sql = contract.oracle_sql()[name]
     assert harness.spark_result(frame) == harness.duck_result(small, sql)
     types = {field.name: SPARK_TO_DUCK[field.dataType.simpleString()] for field in frame.schema}
     described = small.execute(sql).description
     assert types == {column[0]: str(column[1]) for column in described}
+    if name in RESULT_COLUMNS:
+        assert tuple(frame.columns) == RESULT_COLUMNS[name]
+    plan = executed(frame)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert name.startswith("ab_significance") == ("Python" in plan)
 
 
 @pytest.mark.parametrize(

@@ -8,6 +8,7 @@ from plans import final_plan, planned
 from tideline.operators.cleaning import clean_retail
 from tideline.operators.metrics import kyc_rates, tpv
 from tideline.operators.product import step_funnel, step_times
+from tideline.operators.results import register_views
 from tideline.sources import (
     create_database,
     curate_product_events,
@@ -83,6 +84,17 @@ def test_retail_source_with_line_breaks(spark, tmp_path):
         read_retail_source(spark, [])
 
 
+def test_files_of_one_source_share_a_header(spark, tmp_path):
+    os.mkdir(tmp_path / "source")
+    write(tmp_path / "source", "a.csv", "Invoice,Price\n1,2.5\n")
+    write(tmp_path / "source", "b.csv", "Invoice,Price\n2,3.5\n")
+    frame = read_retail_source(spark, str(tmp_path / "source"))
+    assert sorted(tuple(row) for row in frame.collect()) == [("1", "2.5"), ("2", "3.5")]
+    write(tmp_path / "source", "c.csv", "Price,Invoice\n2.5,3\n")
+    with pytest.raises(Exception, match="header"):
+        read_retail_source(spark, str(tmp_path / "source")).collect()
+
+
 def test_retail_is_typed(spark, tmp_path):
     write(tmp_path, "a.csv", RETAIL)
     curated = curate_retail(read_raw(spark, str(tmp_path), "online_retail"))
@@ -240,3 +252,13 @@ def test_export_quotes_everything(spark, tmp_path):
             '"cohort_month","n","pct","at","text","channel"\n'
             '"2009-12-01 00:00:00.000","955","100.0","2010-01-02 03:04:05.678","a, ""b""",""\n'
         )
+
+
+def test_views_for_sql_users(spark, curated_path, tmp_path):
+    write(tmp_path, "retail.csv", RETAIL)
+    lines = curate_retail(read_raw(spark, str(tmp_path / "retail.csv"), "online_retail"))
+    register_views(lines, read_curated(spark, curated_path, "product_events"))
+    assert spark.table("v_first_purchase").count() == 1
+    assert spark.sql("SELECT sum(dau) FROM v_dau").first()[0] == 4
+    rows = spark.sql("SELECT month, amount FROM v_monthly_transactions ORDER BY month").collect()
+    assert [tuple(row) for row in rows] == [("2024-01", 12.5), ("2024-11", 3.0)]

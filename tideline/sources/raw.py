@@ -43,12 +43,15 @@ def read_retail_source(
 
     A column that one source lacks is NULL for its rows. ``multi_line`` allows
     line breaks inside quoted fields; a file is then read by a single task, so
-    leave it off unless the files need it.
+    leave it off unless the files need it. The files of one source share one
+    header; one that differs raises rather than being bound by position.
     """
     sources = [paths] if isinstance(paths, str) else list(paths)
     if not sources:
         raise ValueError("no retail source given")
-    reader = spark.read.options(**_CSV, encoding=encoding, multiLine=str(multi_line).lower())
+    reader = spark.read.options(
+        **_CSV, encoding=encoding, multiLine=str(multi_line).lower(), enforceSchema="false"
+    )
     frames = [reader.csv(source) for source in sources]
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
 

@@ -19,10 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as purchases."""
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").alias("invoice_date"),
-        F.col("o_totalprice").alias("total_price"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS customer_id", "o_orderdate AS invoice_date", "o_totalprice AS total_price"
     )
 
 
@@ -43,81 +41,71 @@ def retail_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(part, lines.l_partkey == part.p_partkey)
         .join(countries, orders.o_custkey == countries.c_custkey)
     )
-    order_number = F.col("o_orderkey").cast("string")
-    quantity = F.col("l_quantity").cast("int")
-    return joined.select(
-        F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("C"), order_number))
-        .otherwise(order_number)
-        .alias("Invoice"),
-        F.col("l_partkey").cast("string").alias("StockCode"),
-        F.col("p_name").alias("Description"),
-        F.when(F.col("l_linenumber") == 7, -quantity).otherwise(quantity).alias("Quantity"),
-        F.col("o_orderdate").alias("InvoiceDate"),
-        (F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0))).alias("Price"),
-        F.when(F.col("o_custkey") % 20 != 0, F.col("o_custkey")).alias("Customer ID"),
-        F.col("n_name").alias("Country"),
+    return joined.selectExpr(
+        "if(o_orderstatus = 'P', concat('C', o_orderkey), string(o_orderkey)) AS Invoice",
+        "string(l_partkey) AS StockCode",
+        "p_name AS Description",
+        "int(if(l_linenumber = 7, -l_quantity, l_quantity)) AS Quantity",
+        "o_orderdate AS InvoiceDate",
+        "l_extendedprice / nullif(l_quantity, 0) AS Price",
+        "if(o_custkey % 20 <> 0, o_custkey, NULL) AS `Customer ID`",
+        "n_name AS Country",
     )
 
 
 def engagement_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events, for the operators that only need a user and a time."""
-    return table(spark, sf_dir, "events").select(
-        "user_id", F.col("ts").alias("event_timestamp")
-    )
+    return table(spark, sf_dir, "events").selectExpr("user_id", "ts AS event_timestamp")
+
+
+# How far a user gets follows from the user's number.
+_LOGS_IN = "user_id % 20 <> 0"
+_VIEWS = f"({_LOGS_IN} AND user_id % 4 <> 1)"
+_APPLIES = f"({_VIEWS} AND user_id % 5 < 3)"
+_PAYS = f"({_VIEWS} AND user_id % 5 < 2)"
 
 
 def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a product event.
+    """Every event as a product event; none is dropped.
 
-    How far a user gets follows from the user's number: users who never log in
-    keep signing up, and what a user cannot do yet is a login instead. No event is
-    dropped.
+    Users who never log in keep signing up, and what a user cannot do yet is a
+    login instead.
     """
-    user = F.col("user_id")
-    logs_in = user % 20 != 0
-    views = logs_in & (user % 4 != 1)
-    applies = views & (user % 5 < 3)
-    pays = views & (user % 5 < 2)
-    kind, number = F.col("event_type"), F.col("event_id")
-    name = (
-        F.when(~logs_in | (kind == "signup"), "signup")
-        .when(views & (kind == "view") & (number % 3 != 0), "view_service")
-        .when(applies & (kind == "click"), "start_application")
-        .when(applies & (kind == "error"), "complete_kyc")
-        .when(pays & (kind == "purchase") & (number % 4 == 0), "first_transaction")
-        .when(pays & (kind == "purchase"), "repeat_transaction")
-        .otherwise("login")
+    named = table(spark, sf_dir, "events").selectExpr(
+        "*",
+        f"""CASE
+            WHEN NOT {_LOGS_IN} OR event_type = 'signup' THEN 'signup'
+            WHEN {_VIEWS} AND event_type = 'view' AND event_id % 3 <> 0 THEN 'view_service'
+            WHEN {_APPLIES} AND event_type = 'click' THEN 'start_application'
+            WHEN {_APPLIES} AND event_type = 'error' THEN 'complete_kyc'
+            WHEN {_PAYS} AND event_type = 'purchase' AND event_id % 4 = 0 THEN 'first_transaction'
+            WHEN {_PAYS} AND event_type = 'purchase' THEN 'repeat_transaction'
+            ELSE 'login' END AS event_name""",
     )
-    paid = F.col("event_name").isin("first_transaction", "repeat_transaction")
-    checked = F.col("event_name") == "complete_kyc"
-    return table(spark, sf_dir, "events").withColumn("event_name", name).select(
+    paid = "event_name IN ('first_transaction', 'repeat_transaction')"
+    return named.selectExpr(
         "user_id",
-        F.when(user % 10 < 2, "referido")
-        .when(user % 10 < 5, "pagado")
-        .otherwise("organico")
-        .alias("channel"),
+        "CASE WHEN user_id % 10 < 2 THEN 'referido' WHEN user_id % 10 < 5 THEN 'pagado' "
+        "ELSE 'organico' END AS channel",
         "event_name",
-        F.col("ts").alias("event_timestamp"),
-        F.when(paid, F.col("value")).alias("amount"),
-        F.when(paid, number % 67 == 0).alias("is_fraud"),
-        F.when(checked & pays, "kyc_approved").when(checked, "kyc_rejected").alias("kyc_result"),
+        "ts AS event_timestamp",
+        f"if({paid}, value, NULL) AS amount",
+        f"if({paid}, event_id % 67 = 0, NULL) AS is_fraud",
+        f"if(event_name = 'complete_kyc', if({_PAYS}, 'kyc_approved', 'kyc_rejected'), NULL) "
+        "AS kyc_result",
     )
 
 
 def raw_product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product events as the raw CSV holds them: all text, empty for missing."""
-
-    def text(name: str):
-        return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
-
-    return product_events(spark, sf_dir).select(
-        F.col("user_id").cast("string").alias("user_id"),
+    return product_events(spark, sf_dir).selectExpr(
+        "string(user_id) AS user_id",
         "channel",
         "event_name",
-        F.col("event_timestamp").cast("string").alias("event_timestamp"),
-        text("amount"),
-        text("is_fraud"),
-        text("kyc_result"),
+        "string(event_timestamp) AS event_timestamp",
+        "coalesce(string(amount), '') AS amount",
+        "coalesce(string(is_fraud), '') AS is_fraud",
+        "coalesce(kyc_result, '') AS kyc_result",
     )
 
 
@@ -129,63 +117,54 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
-    firsts = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("event_timestamp"))
-    signups = firsts.join(customer, firsts.o_custkey == customer.c_custkey).select(
-        F.col("o_custkey").alias("user_id"),
-        F.col("c_mktsegment").alias("channel"),
-        F.lit("signup").alias("event_name"),
-        "event_timestamp",
-        F.lit(None).cast("double").alias("amount"),
-        F.lit(None).cast("boolean").alias("is_fraud"),
+    firsts = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("joined_at"))
+    signups = firsts.join(customer, firsts.o_custkey == customer.c_custkey).selectExpr(
+        "o_custkey AS user_id",
+        "c_mktsegment AS channel",
+        "'signup' AS event_name",
+        "joined_at AS event_timestamp",
+        "double(NULL) AS amount",
+        "boolean(NULL) AS is_fraud",
     )
-    paid = orders.select(
-        F.col("o_custkey").alias("user_id"),
-        F.lit(None).cast("string").alias("channel"),
-        F.when(F.col("o_orderstatus") == "F", "first_transaction")
-        .otherwise("repeat_transaction")
-        .alias("event_name"),
-        F.col("o_orderdate").alias("event_timestamp"),
-        F.col("o_totalprice").alias("amount"),
-        (F.col("o_orderkey") % 67 == 0).alias("is_fraud"),
+    paid = orders.selectExpr(
+        "o_custkey AS user_id",
+        "string(NULL) AS channel",
+        "if(o_orderstatus = 'F', 'first_transaction', 'repeat_transaction') AS event_name",
+        "o_orderdate AS event_timestamp",
+        "o_totalprice AS amount",
+        "o_orderkey % 67 = 0 AS is_fraud",
     )
     return signups.unionByName(paid)
 
 
 def channel_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Acquisition costs as text, from the sign-ups of each channel and month."""
-    signups = order_events(spark, sf_dir).filter(F.col("event_name") == "signup")
-    counted = signups.groupBy("channel", month_of("event_timestamp").alias("start")).agg(
-        F.count("*").alias("new_users")
-    )
-    cost = (
-        F.col("new_users")
-        * (10 + F.length("channel"))
-        * (1 + (F.month("start") % 5) / F.lit(20.0))
-    )
+    signups = order_events(spark, sf_dir).filter("event_name = 'signup'")
+    counted = signups.groupBy("channel", month_of("event_timestamp").alias("start")).count()
     return counted.select(
         "channel",
         month_label("start").alias("month"),
-        F.round(cost, 2).cast("string").alias("acquisition_cost_pen"),
+        F.expr(
+            "string(round(count * (10 + length(channel)) * (1 + (month(start) % 5) / 20.0D), 2))"
+        ).alias("acquisition_cost_pen"),
     )
 
 
 def customer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One identity check per customer, approved with a positive balance."""
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("user_id"),
-        F.col("c_mktsegment").alias("channel"),
-        F.lit("complete_kyc").alias("event_name"),
-        F.when(F.col("c_acctbal") > 0, "kyc_approved").otherwise("kyc_rejected").alias("kyc_result"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS user_id",
+        "c_mktsegment AS channel",
+        "'complete_kyc' AS event_name",
+        "if(c_acctbal > 0, 'kyc_approved', 'kyc_rejected') AS kyc_result",
     )
 
 
 def ab_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in two variants; ``converted`` is text, as in the raw file."""
-    even = F.col("c_custkey") % 2 == 0
-    bar = F.when(even, 9100).otherwise(8700)
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").cast("string").alias("customer_id"),
-        F.when(even, "control").otherwise("test").alias("variant"),
-        (F.col("c_acctbal") > bar).cast("int").cast("string").alias("converted"),
-        F.col("c_mktsegment").alias("experiment"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "string(c_custkey) AS customer_id",
+        "if(c_custkey % 2 = 0, 'control', 'test') AS variant",
+        "if(c_acctbal > if(c_custkey % 2 = 0, 9100, 8700), '1', '0') AS converted",
+        "c_mktsegment AS experiment",
     )

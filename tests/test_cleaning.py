@@ -4,7 +4,10 @@ import pytest
 
 from tideline.operators.cleaning import clean_retail, clean_retail_stats, normalize_retail_columns
 
-HEADER = "Invoice string, StockCode string, Description string, Quantity {q}, InvoiceDate string, Price double, `Customer ID` {c}, Country string"
+HEADER = (
+    "Invoice string, StockCode string, Description string, Quantity {q}, InvoiceDate string, "
+    "Price double, `Customer ID` {c}, Country string"
+)
 
 
 @pytest.fixture

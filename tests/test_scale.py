@@ -20,15 +20,21 @@ def shuffles(plan, partitioning="hashpartitioning"):
     return len(re.findall(rf"(?<!Reused)Exchange {partitioning}", plan))
 
 
-def test_users_and_customers_are_shuffled_once(spark):
+def test_facts_are_combined_before_every_shuffle(spark):
     purchases = mappings.transactions(spark, SMALL)
     events = mappings.product_events(spark, SMALL)
-    assert shuffles(final_plan(acquisition_funnel(purchases))) == 1
+    # One row of flags or times per user.
     assert shuffles(final_plan(step_funnel(events))) == 1
     assert shuffles(final_plan(step_times(events))) == 1
-    # Once by user, then the few sums per day or cell.
-    assert shuffles(final_plan(rolling_active_users(events))) == 2
-    assert shuffles(final_plan(cohort_matrix(purchases))) == 3
+    # Distinct (customer, day) pairs, then the same pairs by customer.
+    assert shuffles(final_plan(acquisition_funnel(purchases))) == 2
+    # Distinct (user, mark) pairs, the pairs by user, then sums per day.
+    assert shuffles(final_plan(rolling_active_users(events))) == 3
+    for frame in (acquisition_funnel(purchases), rolling_active_users(events), cohort_matrix(purchases)):
+        plan = final_plan(frame)
+        # The scan's own stage already aggregates, by hash.
+        scan_stage = plan.rsplit("Exchange hashpartitioning", 1)[1]
+        assert "HashAggregate" in scan_stage and "ObjectHash" not in plan and "Window" not in scan_stage
 
 
 def test_facts_are_scanned_once(spark):
@@ -40,7 +46,7 @@ def test_facts_are_scanned_once(spark):
 
 
 def test_one_user_with_half_of_the_rows(spark):
-    """The hot user reaches the shuffle as one small set per task."""
+    """The hot user reaches the shuffle as one row per day and task."""
     events = spark.range(0, 400_000, 1, 8).select(
         F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("user_id"),
         F.expr("timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(cast(id % 60 AS int))").alias(

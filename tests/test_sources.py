@@ -1,6 +1,7 @@
 import datetime as dt
 import glob
 import os
+from types import SimpleNamespace
 
 import pytest
 from plans import final_plan, planned
@@ -9,6 +10,7 @@ from tideline.operators.cleaning import clean_retail
 from tideline.operators.metrics import kyc_rates, tpv
 from tideline.operators.product import step_funnel, step_times
 from tideline.operators.results import register_views
+from tideline.plans.storage import shared_folder
 from tideline.sources import (
     create_database,
     curate_product_events,
@@ -190,7 +192,8 @@ def test_added_partitions_are_registered(spark, curated_path):
     assert spark.table("curated_layer.events").filter("year = '2025'").count() == 1
 
 
-def test_a_large_month_is_split_over_files(spark, tmp_path):
+@pytest.mark.parametrize("cluster_by", [[], ["event_name", "user_id"]])
+def test_a_large_month_is_split_over_files(spark, tmp_path, cluster_by):
     rows = spark.range(60000).selectExpr(
         "cast(id as string) AS user_id",
         "'c' AS channel",
@@ -206,7 +209,7 @@ def test_a_large_month_is_split_over_files(spark, tmp_path):
     before = spark.conf.get(size)
     spark.conf.set(size, "200k")
     try:
-        write_curated(rows.repartition(16), str(tmp_path / "t"))
+        write_curated(rows.repartition(16), str(tmp_path / "t"), cluster_by=cluster_by)
     finally:
         spark.conf.set(size, before)
     files = glob.glob(str(tmp_path / "t/year=2024/month=3/*.parquet"))
@@ -254,6 +257,16 @@ def test_export_quotes_everything(spark, tmp_path):
         )
 
 
+def test_round_trips_use_the_shared_folder(tmp_path):
+    def session(**settings):
+        return SimpleNamespace(conf=settings)
+
+    shared = session(**{"spark.checkpoint.dir": "hdfs://lake/checkpoints/"})
+    one, two = shared_folder(shared), shared_folder(shared)
+    assert one.startswith("hdfs://lake/checkpoints/tideline-") and one != two
+    assert os.path.isdir(shared_folder(session()))
+
+
 def test_views_for_sql_users(spark, curated_path, tmp_path):
     write(tmp_path, "retail.csv", RETAIL)
     lines = curate_retail(read_raw(spark, str(tmp_path / "retail.csv"), "online_retail"))

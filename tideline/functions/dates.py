@@ -50,14 +50,3 @@ def whole_minutes(start: Column | str, end: Column | str) -> Column:
 def is_midnight(ts: Column | str) -> Column:
     column = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
     return column == column.cast("date").cast("timestamp_ntz")
-
-
-def distinct_sorted(key: Column | str) -> Column:
-    """Aggregate: the distinct calendar keys of a group, ascending, NULLs left out.
-
-    For days or months only. Then a group holds at most one entry per calendar day,
-    however many rows it has, tasks combine their rows to such sets before the
-    shuffle, and one shuffle by the group suffices where distinct pairs and a window
-    take two.
-    """
-    return F.sort_array(F.collect_set(key))

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.dates import distinct_sorted, month_of, months_between_starts
+from tideline.functions.dates import month_of, months_between_starts
 from tideline.functions.ratios import percent
 
 
 def _active_customers(
     transactions: DataFrame, customer: str, ts: str, last_month: int | None = None
 ) -> DataFrame:
-    """Active customers per cohort and month number, from distinct months."""
-    customers = (
-        transactions.filter(F.col(customer).isNotNull())
-        .groupBy(customer)
-        .agg(distinct_sorted(month_of(ts)).alias("months"))
+    """Active customers per cohort and month number, from distinct months.
+
+    One customer brings at most one row per calendar month into the window.
+    """
+    months = (
+        transactions.select(F.col(customer).alias("customer_id"), month_of(ts).alias("active_month"))
+        .filter(F.col("customer_id").isNotNull() & F.col("active_month").isNotNull())
+        .distinct()
     )
-    numbered = customers.select(
-        F.get("months", F.lit(0)).alias("cohort_month"), F.explode("months").alias("active_month")
+    by_customer = Window.partitionBy("customer_id")
+    numbered = months.select(
+        F.min("active_month").over(by_customer).alias("cohort_month"), "active_month"
     ).select(
         "cohort_month", months_between_starts("cohort_month", "active_month").alias("month_number")
     )

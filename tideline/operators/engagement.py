@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.dates import day_of, distinct_sorted, is_midnight, week_of
+from tideline.functions.dates import day_of, is_midnight, week_of
 from tideline.functions.ratios import ratio
 
 
@@ -30,35 +30,30 @@ def daily_activity(
     the ``days`` calendar days up to and including d instead. Days without any
     event, and days whose window is empty, have no row.
 
-    There is no join of days with events. An event at midnight or during day d puts
-    its user into the windows of ``days`` days from the next midnight on. A user's
-    distinct marks are collected in order, two per day at most; where a mark follows
-    the one before within ``days``, both belong to one stay. A stay adds one user at
-    its first day and takes one off after its last, and a running sum over days gives
-    the users of each window. The work is one mark per (user, day) for any window
-    length, and one user's marks, like the unpartitioned running sum, are bounded by
-    the calendar however many events there are.
+    There is no join of days with events. Events are reduced to distinct marks of a
+    user, two per day at most: at midnight, and later that day. A mark puts the user
+    into the windows of ``days`` days from the next midnight on, or until the user's
+    next mark takes over. Each mark so adds one user at a day and takes one off at a
+    later day, and a running sum over days gives the users of every window. The work
+    is one mark per (user, day) for any window length; one user's marks, like the
+    unpartitioned running sum, are bounded by the calendar however many events there
+    are.
     """
     at = F.col(ts).cast("timestamp_ntz")
-    day_number = F.unix_date(day_of(at))
     # Twice the day, plus one after midnight: half up it is the first window's day.
     after_midnight = F.lit(0) if include_current_day else F.when(is_midnight(at), 0).otherwise(1)
     marks = (
         events.filter(F.col(ts).isNotNull())
-        .groupBy(F.col(user).alias("user_id"))
-        .agg(distinct_sorted(2 * day_number + after_midnight).alias("marks"))
+        .select(
+            F.col(user).alias("user_id"),
+            (2 * F.unix_date(day_of(at)) + after_midnight).alias("mark"),
+        )
+        .distinct()
     )
-    neighbours = marks.select(
-        # Rows without a user open windows but count no user.
-        F.when(F.col("user_id").isNotNull(), 1).otherwise(0).alias("counts"),
-        F.inline(
-            F.arrays_zip(
-                F.col("marks").alias("mark"),
-                F.concat(F.array(F.lit(None).cast("int")), F.col("marks")).alias("before"),
-                F.slice("marks", 2, F.size("marks")).alias("next"),
-            )
-        ),
-    ).filter(F.col("mark").isNotNull())
+    next_mark = F.lead("mark").over(Window.partitionBy("user_id").orderBy("mark"))
+    # Rows without a user open windows but count no user.
+    counts = F.when(F.col("user_id").isNotNull(), 1).otherwise(0)
+    followed = marks.select("mark", next_mark.alias("next"), counts.alias("counts"))
 
     def day(mark: str) -> Column:
         return F.shiftright(mark, 1)
@@ -66,17 +61,16 @@ def daily_activity(
     def enters(mark: str) -> Column:
         return F.shiftright(F.col(mark) + 1, 1)
 
-    new_day = F.col("before").isNull() | (day("before") < day("mark"))
-    starts = F.col("before").isNull() | (enters("before") + days < enters("mark"))
-    ends = F.col("next").isNull() | (enters("mark") + days < enters("next"))
-    zero, one, counts = F.lit(0), F.lit(1), F.col("counts")
+    last_of_day = F.col("next").isNull() | (day("next") > day("mark"))
+    leaves = F.least(enters("mark") + days, enters("next"))  # least() skips a missing next
+    zero, one, users = F.lit(0), F.lit(1), F.col("counts")
     changes = (
-        neighbours.select(
+        followed.select(
             F.stack(
                 F.lit(3),
-                *(F.when(new_day, day("mark")), one, counts, zero, zero),
-                *(F.when(starts, enters("mark")), zero, zero, one, counts),
-                *(F.when(ends, enters("mark") + days), zero, zero, -one, -counts),
+                *(F.when(last_of_day, day("mark")), one, users, zero, zero),
+                *(enters("mark"), zero, zero, one, users),
+                *(leaves, zero, zero, -one, -users),
             ).alias("day_number", "present", "users", "open_step", "user_step")
         )
         .filter(F.col("day_number").isNotNull())

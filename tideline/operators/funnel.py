@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.dates import day_of, distinct_sorted, month_of
+from tideline.functions.dates import day_of, month_of
 from tideline.functions.ratios import percent
 
 
@@ -19,20 +19,36 @@ def first_purchase(
     return firsts.withColumn("acquisition_cohort_month", month_of("first_purchase_date"))
 
 
-def _purchase_days(transactions: DataFrame, customer: str, ts: str) -> DataFrame:
-    """Per customer the distinct purchase days in order, and the first of them."""
-    return (
+def _customer_flags(
+    transactions: DataFrame, customer: str, ts: str, days: int, months: int
+) -> DataFrame:
+    """Per customer: first day, bought again within ``days``, bought again later.
+
+    Purchases are reduced to distinct (customer, day) pairs first, map-side before
+    the shuffle, which bounds what one customer brings into the window by the
+    calendar, however many lines the customer has. The next distinct day is at most
+    ``days`` after the first exactly when some distinct day is, so no lead or
+    self-join is needed, and the closing aggregation reuses the window's
+    partitioning.
+    """
+    purchase_days = (
         transactions.filter(F.col(customer).isNotNull())
-        .groupBy(F.col(customer).alias("customer_id"))
-        .agg(distinct_sorted(day_of(ts)).alias("purchase_days"))
-        .withColumn("first_purchase_day", F.get("purchase_days", F.lit(0)))
+        .select(F.col(customer).alias("customer_id"), day_of(ts).alias("purchase_day"))
+        .distinct()
+    )
+    by_customer = Window.partitionBy("customer_id")
+    first, day = F.col("first_purchase_day"), F.col("purchase_day")
+    gap = F.date_diff(day, first)
+    soon = (gap > 0) & (gap <= days)
+    later = (gap > days) & (day <= F.add_months(first, months))
+    return (
+        purchase_days.withColumn("first_purchase_day", F.min("purchase_day").over(by_customer))
+        .groupBy("customer_id", "first_purchase_day")
+        .agg(
+            F.max(F.when(soon, 1).otherwise(0)).alias("activated"),
+            F.max(F.when(later, 1).otherwise(0)).alias("returned"),
+        )
     )
-
-
-def _activated(days: int) -> Column:
-    """1 if the second purchase day follows within ``days``, else 0."""
-    gap = F.date_diff(F.get("purchase_days", F.lit(1)), "first_purchase_day")
-    return F.when(gap <= days, 1).otherwise(0)
 
 
 def activation(
@@ -45,10 +61,8 @@ def activation(
 
     Several purchases on the first day do not activate.
     """
-    customers = _purchase_days(transactions, customer, ts)
-    return customers.select(
-        "customer_id", "first_purchase_day", _activated(days).alias("activated")
-    )
+    flags = _customer_flags(transactions, customer, ts, days, months=0)
+    return flags.select("customer_id", "first_purchase_day", "activated")
 
 
 def acquisition_funnel(
@@ -64,14 +78,7 @@ def acquisition_funnel(
     later than ``months`` after the first purchase, so the purchase that
     activates never counts as retention too.
     """
-    first = F.col("first_purchase_day")
-    seen_later = F.exists(
-        "purchase_days",
-        lambda day: (F.date_diff(day, first) > days) & (day <= F.add_months(first, months)),
-    )
-    flags = _purchase_days(transactions, customer, ts).select(
-        _activated(days).alias("activated"), F.when(seen_later, 1).otherwise(0).alias("returned")
-    )
+    flags = _customer_flags(transactions, customer, ts, days, months)
     totals = flags.agg(
         F.count("*").alias("clientes_adquiridos"),
         F.sum("activated").alias("clientes_activados"),

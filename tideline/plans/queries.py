@@ -81,7 +81,10 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cohort matrix through a result file."""
     path = f"{shared_folder(spark)}/cohorts"
     export_csv(cohorts.cohort_matrix(mappings.transactions(spark, sf_dir)), path)
-    columns = "cohort_month STRING, month_number BIGINT, cohort_customers BIGINT, active_customers BIGINT, pct_retained DOUBLE"
+    columns = (
+        "cohort_month STRING, month_number BIGINT, cohort_customers BIGINT, "
+        "active_customers BIGINT, pct_retained DOUBLE"
+    )
     exported = spark.read.schema(columns).csv(path, header=True)
     return exported.withColumn("cohort_month", F.to_date(F.substring("cohort_month", 1, 10)))
 

@@ -152,14 +152,15 @@ scores AS (
            / sqrt((hc + ht) / (nc + nt) * (1 - (hc + ht) / (nc + nt)) * (1 / nc + 1 / nt)) AS z
   FROM counts
 ),
--- Simpson's rule for the normal density between 0 and |z|
-curve AS (
+-- Simpson's rule for the normal density from |z| on, where nothing cancels
+tail AS (
   SELECT experiment,
-         sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
-             * exp(-0.5 * power(i * abs(z) / 4000, 2)) / sqrt(2 * pi())) * abs(any_value(z)) / 12000 AS area
-  FROM scores, range(0, 4001) AS steps(i) GROUP BY 1
+         sum(CASE WHEN i IN (0, 12000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+             * exp(-0.5 * power(abs(z) + i * 0.001::DOUBLE, 2)) / sqrt(2 * pi()))
+           * 0.001::DOUBLE / 3 AS area
+  FROM scores, range(0, 12001) AS steps(i) GROUP BY 1
 ),
-p AS (SELECT s.*, 1 - 2 * area AS p FROM scores s JOIN curve USING (experiment))
+p AS (SELECT s.*, 2 * area AS p FROM scores s JOIN tail USING (experiment))
 """
 
 _TEST_COLUMNS = f"""

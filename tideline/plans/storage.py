@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the session's ``spark.checkpoint.dir``.
 
-    A machine-local temporary folder is made only where that is unset, as in
-    tests on one machine.
+    What a query keeps there must outlive its own call, since the frame it
+    returns still reads it, so nothing is deleted here: the folder belongs to
+    the session's checkpoint directory and goes when its owner clears that.
+    Where the setting is missing, a local master gets a machine-local folder
+    that is removed when the process ends; on a cluster that would lose rows
+    (each executor would write to its own disk), so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return tempfile.mkdtemp(prefix="tideline-")
-    return f"{base.rstrip('/')}/tideline-{uuid.uuid4().hex}"
+    if base:
+        return f"{base.rstrip('/')}/tideline-{uuid.uuid4().hex}"
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="tideline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def written(frame: DataFrame, path: str) -> DataFrame:
+    """The frame as a Parquet table at ``path``: its lineage starts anew there."""
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import simhash
+from tideline.llm import mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.taken_words(mixing.mix_sources(table(spark, sf_dir, "documents")))
+    return found.select(
+        F.col("mix_id").alias("doc_id"),
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        F.col("mix_taken").alias("taken"),
+    )
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 LLM_QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
     "op7_simhash_dedup": op7_simhash_dedup,
 }

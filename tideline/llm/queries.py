@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import mixing, packing, simhash
+from tideline.llm import mixing, packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    law = F.lit("bytes").alias("law")
+    grown = F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def word_tokenizer() -> str:
     """Path of the word tokenizer, the same on every executor."""
     import public_tokenizers
@@ -45,6 +52,7 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import mixing, packing, sharding, simhash
+from tideline.llm import mixing, packing, sharding, simhash, toxicity
+from tideline.llm.texts import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
 
+TOXIC_LEAST = 0.3
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT, F.lit(False))
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_LEAST).cast("int").alias("predicted"),
+        F.size("passages").alias("passages"),
+    )
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,5 +71,6 @@ LLM_QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash_dedup": op7_simhash_dedup,
 }

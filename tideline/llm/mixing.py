@@ -32,30 +32,26 @@ BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
 BUCKET_ROWS = 10_000
 CHUNK_SLOTS = 4096
-ROUNDS = 24
+TASK_SLOTS = 65_536
+ROUNDS = 16
 SEED = 20_240_601
-PRIME = 2_147_483_647
 
 
-def _scramble(value: Column, salt: Column) -> Column:
-    """A number below PRIME that depends on both, in 64-bit arithmetic."""
-    one = (value % PRIME + salt * 40_503 + 12_345) % PRIME
-    two = (one * one + salt) % PRIME
-    return (two * two + one * 69_621) % PRIME
+def permuted(frame: DataFrame, name: str, index: Column, size: str, salt: Column, inverse: bool = False) -> DataFrame:
+    """The frame with ``name``: where the permutation of 0 .. size-1 named by ``salt`` takes ``index``.
 
-
-def permuted(index: Column, size: Column, salt: Column, inverse: bool = False) -> Column:
-    """Where the permutation of 0 .. size-1 named by ``salt`` takes ``index``."""
-    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-
-    def swap(x: Column, turn: Column) -> Column:
-        key = _scramble(turn.cast("long") + F.lit(SEED), salt) % size
-        other = F.pmod(key - x, size)
-        high = F.greatest(x, other)
-        bit = _scramble(high, salt * 64 + turn + F.lit(7)).bitwiseAND(F.lit(64).cast("long"))
-        return F.when(bit != 0, other).otherwise(x)
-
-    return F.aggregate(rounds, index.cast("long"), swap)
+    Each round is a projection of its own, so that its code stays small. A round
+    undoes itself, so the inverse runs them backwards.
+    """
+    n = F.col(size)
+    frame = frame.withColumn(name, index.cast("long")).withColumn(f"{name}_salt", salt)
+    for turn in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
+        key = F.pmod(F.xxhash64(F.lit(SEED), F.lit(turn), f"{name}_salt"), n)
+        high = F.greatest(F.col(name), F.col(f"{name}_pair"))
+        bit = F.xxhash64(F.lit(SEED + 1), F.lit(turn), f"{name}_salt", high).bitwiseAND(F.lit(1).cast("long"))
+        frame = frame.withColumn(f"{name}_pair", F.pmod(key - F.col(name), n))
+        frame = frame.withColumn(name, F.when(bit == 1, F.col(f"{name}_pair")).otherwise(F.col(name)))
+    return frame.drop(f"{name}_salt", f"{name}_pair")
 
 
 def source_targets(
@@ -136,7 +132,7 @@ def mix_sources(
         f"{folder}/sources",
     )
     rows = written(_laid_out(sized, sources), f"{folder}/rows")
-    slots = written(_slots(sources, block_words, shard_slots), f"{folder}/slots")
+    slots = written(_slots(sources, block_words, shard_slots, f"{folder}/plan"), f"{folder}/slots")
     return Mix(rows, slots, _pieces(rows, slots, block_words))
 
 
@@ -179,7 +175,7 @@ def _pass_salt(rank: Column, turn: Column) -> Column:
     return (rank.cast("long") * 1_009 + turn.cast("long") * 7 + 1).cast("long")
 
 
-def _slots(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
+def _slots(sources: DataFrame, block_words: int, shard_slots: int, path: str) -> DataFrame:
     """Every slot of the mix with the block it holds and how many of its words."""
     size, owed = F.col("source_size"), F.col("owed")
     plan = (
@@ -190,14 +186,14 @@ def _slots(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
         .withColumn("rest", owed - F.col("full") * size)
         .withColumn("short", F.col("blocks") * block_words - size)
     )
-    last = permuted(F.col("blocks") - 1, F.col("blocks"), _pass_salt(F.col("rank"), F.col("full")), inverse=True)
+    salt = _pass_salt(F.col("rank"), F.col("full"))
+    plan = permuted(plan, "short_at", F.col("blocks") - 1, "blocks", salt, inverse=True)
     even = F.ceil(F.col("rest") / block_words)
     odd = F.ceil((F.col("rest") + F.col("short")) / block_words)
     before = F.col("more") - 1
     reached = before * block_words - F.when(before > F.col("short_at"), F.col("short")).otherwise(0)
     plan = (
-        plan.withColumn("short_at", last)
-        .withColumn("more", F.when(even <= F.col("short_at"), even).otherwise(odd).cast("long"))
+        plan.withColumn("more", F.when(even <= F.col("short_at"), even).otherwise(odd).cast("long"))
         .withColumn("last_words", (F.col("rest") - reached).cast("long"))
         .withColumn("slots", F.col("full") * F.col("blocks") + F.col("more"))
     )
@@ -205,21 +201,22 @@ def _slots(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
     plan = plan.withColumn("from", F.coalesce(F.sum("slots").over(earlier), F.lit(0))).withColumn(
         "all", F.sum("slots").over(Window.partitionBy())
     )
+    plan = written(plan, path)
+    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     chunks = plan.where("slots > 0").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK_SLOTS)))
     )
-    chunks = chunks.repartition("rank", "chunk")
+    chunks = chunks.repartition(max(1, -(-total // TASK_SLOTS)), "rank", "chunk")
     start = F.col("chunk") * CHUNK_SLOTS
     end = F.least(F.col("slots"), start + CHUNK_SLOTS) - 1
     each = chunks.withColumn("i", F.explode(F.sequence(start, end)))
     turn = F.floor(F.col("i") / F.col("blocks")).cast("long")
     each = each.withColumn("pass", turn).withColumn("at", F.col("i") - F.col("pass") * F.col("blocks"))
-    each = each.withColumn("block", permuted(F.col("at"), F.col("blocks"), _pass_salt(F.col("rank"), F.col("pass"))))
+    each = permuted(each, "block", F.col("at"), "blocks", _pass_salt(F.col("rank"), F.col("pass")))
     whole = F.when(F.col("block") == F.col("blocks") - 1, block_words - F.col("short")).otherwise(block_words)
     cut = (F.col("pass") == F.col("full")) & (F.col("at") == F.col("more") - 1)
     each = each.withColumn("words", F.when(cut, F.col("last_words")).otherwise(whole).cast("long"))
-    place = permuted(F.col("from") + F.col("i"), F.col("all"), F.lit(0).cast("long"))
-    each = each.withColumn("place", place)
+    each = permuted(each, "place", F.col("from") + F.col("i"), "all", F.lit(0).cast("long"))
     return each.select(
         F.floor(F.col("place") / shard_slots).cast("long").alias("shard"),
         (F.col("place") % shard_slots).alias("slot"),

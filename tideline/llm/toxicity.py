@@ -4,7 +4,8 @@ A word's evidence is the largest log-odds among the character n-grams of its mar
 form ``^word$``; n-grams also catch inflected and compounded forms. Log-odds compare
 the share of toxic and of other documents that hold an n-gram, each smoothed by a
 Dirichlet prior in proportion to its share of all documents, and count only if they
-exceed Z_LEAST standard errors; all else is 0. Every word pays DRIFT, so scores fall
+exceed Z_LEAST standard errors; all else is 0. The k-th time that a word comes in a
+text its evidence counts one k-th, since repeats are not independent. Every word pays DRIFT, so scores fall
 in ordinary text and rise in toxic passages. A linear scan finds every maximal
 segment (Ruzzo and Tompa 1999). The largest score of an ordinary text of ``n`` words
 follows an extreme-value law with parameters lambda and K (Karlin and Altschul 1990),
@@ -32,8 +33,8 @@ from tideline.llm.texts import fold
 from tideline.plans.storage import shared_folder, written
 
 GRAM = 5
-PRIOR_DOCS = 100.0
-Z_LEAST = 3.0
+PRIOR_DOCS = 50.0
+Z_LEAST = 2.5
 DRIFT = 1.0
 #: The model's size: n-grams of largest z that are kept, at most.
 MOST_GRAMS = 100_000
@@ -81,12 +82,17 @@ class Scanner:
         if len(held) > 1_000_000:
             held.clear()
         try:
-            return np.array([held[w] for w in words])
+            found = np.array([held[w] for w in words])
         except KeyError:
             for w in words:
                 if w not in held:
-                    held[w] = max(grams.get(g, 0.0) for g in word_grams(w)) - DRIFT
-            return np.array([held[w] for w in words])
+                    held[w] = max(grams.get(g, 0.0) for g in word_grams(w))
+            found = np.array([held[w] for w in words])
+        times: Counter = Counter()
+        for at in np.nonzero(found)[0].tolist():
+            times[words[at]] += 1
+            found[at] /= times[words[at]]
+        return found - DRIFT
 
 
 def best_segment(scores: np.ndarray) -> float:
@@ -235,7 +241,7 @@ def _extreme_value_law(scans: DataFrame) -> tuple[float, float]:
             high = middle
         else:
             low = middle
-    lam = min(low, 2.0)
+    lam = low
     mean = clean.agg(F.avg(F.col("best") * lam - F.log("words"))).first()[0]
     return lam, float(mean) - 0.5772156649
 

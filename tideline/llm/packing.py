@@ -17,9 +17,12 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,48 +33,79 @@ from tideline.plans.storage import shared_folder, written
 
 CAPACITY = 4096
 END_ID = 1
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 2_000
 #: Entries of a task's memory of words and their ids; it starts anew beyond that.
 WORDS_HELD = 1_000_000
-#: A comma or full stop that ends a word is a token of its own, since what stands
-#: before it is a letter and after it white space: it is split off so that the word is
-#: looked up without it.
-WORD_END = rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([,.])(?=[\x20\x09-\x0D]|\Z)"
+#: Last bytes of letters: ASCII ones, and those of Latin-1, which follow a byte C3.
+ASCII_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+LATIN_LETTERS = frozenset(range(0x80, 0xC0)) - {0x97, 0xB7}
+STOPS = (b",", b".")
+#: Lower-case letters of ASCII and Latin-1: no normal form or other rule changes a word of them.
+LETTERS = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 
 
 class WordEncoder:
     """Ids of whole texts from the ids of their words, which are looked up once.
 
     The tokenizer's pre-tokens never cross white space, so a text's ids are those
-    of its white-space separated parts, one after the other.
+    of its white-space separated parts, one after the other. A comma or full stop
+    that ends a part after a letter is a pre-token of its own, and the tokenizer
+    folds case, so forms with stops and capitals share one look-up. Where the
+    tokenizer treats words of letters as its model does, these go there directly.
     """
 
     def __init__(self, path: str):
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.held: dict[bytes, bytes] = {}
-        self.split_end = re.compile(WORD_END).sub
+        marks = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {ord(c): marks.pre_tokenize_str(c)[0][0] for c in LETTERS if ord(c) > 127}
+        self.letters = re.compile(f"[{LETTERS}{LETTERS.upper().replace('SS', '')}]+").fullmatch
+        probe = ["the", "Ümläute", "Ça", "straße", LETTERS]
+        self.direct = all(self._model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text; none for null."""
-        import numpy as np
+    def _model(self, word: str) -> list[int]:
+        """Ids of a word of letters from the tokenizer's model alone, without its text stages."""
+        return [token.id for token in self.tokenizer.model.tokenize(word.lower().translate(self.as_bytes))]
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; none for null."""
+        split = [(text or "").encode("utf-8").split() for text in texts]
+        if len(self.held) > WORDS_HELD:
+            self.held.clear()
+        self._learn(set(chain.from_iterable(split)).difference(self.held))
+        look = self.held.__getitem__
+        return [b"".join(map(look, words)) for words in split]
+
+    def _learn(self, words: set[bytes]) -> None:
         held = self.held
-        for text in texts:
-            words = self.split_end(rb" \1", (text or "").encode("utf-8")).split()
-            new = [word for word in dict.fromkeys(words) if word not in held]
-            if new:
-                if len(held) + len(new) > WORDS_HELD:
-                    held.clear()
-                    new = list(dict.fromkeys(words))
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-                for word, encoding in zip(new, found, strict=True):
-                    held[word] = np.array(encoding.ids, dtype="<u4").tobytes()
-            yield b"".join([held[word] for word in words])
+        parts = {word: _core(word) for word in words}
+        fresh = list({core for core, _ in parts.values()}.union(STOPS).difference(held))
+        others = []
+        for word in fresh:
+            text = word.decode("utf-8")
+            if self.direct and self.letters(text):
+                ids = self._model(text)
+                held[word] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append((word, text))
+        found = self.tokenizer.encode_batch_fast([text for _, text in others], add_special_tokens=False)
+        for (word, _), encoding in zip(others, found, strict=True):
+            held[word] = struct.pack(f"<{len(encoding)}I", *encoding.ids)
+        for word, (core, stop) in parts.items():
+            held[word] = held[core] + held[stop] if stop else held[core]
+
+
+def _core(word: bytes) -> tuple[bytes, bytes]:
+    """The word without a stop of its own, in lower case if it is all ASCII letters; the stop."""
+    stop = b""
+    if len(word) > 1 and word[-1:] in STOPS:
+        last = word[-2]
+        if last in ASCII_LETTERS or len(word) > 2 and word[-3] == 0xC3 and last in LATIN_LETTERS:
+            word, stop = word[:-1], word[-1:]
+    return (word.lower() if word.isalpha() else word), stop
 
 
 def token_pieces(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import line_dedup, mixing, packing, sharding, simhash, toxicity
+from tideline.llm import line_dedup, mixing, neighbours, packing, sharding, simhash, toxicity
 from tideline.llm.texts import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "removed_lines")
 
 
+QUERY_STEP = 20
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % QUERY_STEP == 0))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op3_sharding": op3_sharding,
@@ -79,4 +87,5 @@ LLM_QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }

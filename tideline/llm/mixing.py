@@ -30,7 +30,7 @@ SHARE = 1.5
 MOST_PASSES = 2
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 2_000
 CHUNK_SLOTS = 4096
 TASK_SLOTS = 65_536
 ROUNDS = 16

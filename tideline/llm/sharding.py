@@ -24,7 +24,7 @@ from tideline.plans.storage import shared_folder, written
 
 SHARDS = 16
 TASK_ROWS = 8_192
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 2_000
 
 
 def differenced(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import line_dedup, mixing, neighbours, packing, sharding, simhash, toxicity
+from tideline.llm import embedding_dedup, line_dedup, mixing, neighbours, packing, sharding, simhash, toxicity
 from tideline.llm.texts import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_documents(table(spark, sf_dir, "documents"))
     law = F.lit("bytes").alias("law")
@@ -82,6 +86,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,

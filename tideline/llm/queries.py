@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import embedding_dedup, line_dedup, mixing, neighbours, packing, sharding, simhash, toxicity
+from tideline.llm import embedding_dedup, language_model, line_dedup, mixing, neighbours, packing, sharding, simhash, toxicity
 from tideline.llm.texts import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,15 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language_model.held_out(F.col("doc_id"))
+    model, counts = language_model.fit_language_model(docs, ~held_out)
+    scored = language_model.score_documents(docs, model, counts)
+    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), *names)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "removed_lines")
@@ -91,6 +100,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_language_model": op8_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }

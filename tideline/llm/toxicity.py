@@ -266,6 +266,19 @@ def _logistic(scans: DataFrame, model: ToxicityModel) -> tuple[float, float]:
     return max(0.0, float(weights[1])), float(weights[0])
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, least: float, text_col: str = "text") -> DataFrame:
+    """The documents whose score is below ``least``, with all their columns; null texts count as empty."""
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scanner = Scanner(model.grams)
+        for batch in batches:
+            scores = [scanner.scores(text) for text in batch]
+            best = np.array([best_segment(s) for s in scores])
+            yield pd.Series(model.probability(best, np.array([len(s) for s in scores])), dtype="float64")
+
+    return docs.where(F.pandas_udf(score, "double")(F.col(text_col)) < least)
+
+
 def score_toxicity(
     docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -2,4 +2,42 @@
 
 from __future__ import annotations
 
-LLM_ORACLE: dict[str, str] = {}
+from tideline.llm.licence_texts import LICENCES, NOTICES, SPELLINGS
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    """SQL for the normalised form of a text; lines of copyright are blanked, not dropped."""
+    mark = r"[^\\pL\\pN\\n]*"
+    lines = f"regexp_replace(lower({text}), '(?m)^{mark}(copyright|\\(c\\)|©).*$|^{mark}all rights reserved{mark}$', '', 'g')"
+    plain = f"' ' || regexp_replace({lines}, '[^\\pL\\pN]+', ' ', 'g') || ' '"
+    for found, one in SPELLINGS:
+        plain = f"replace({plain}, ' {found} ', ' {one} ')"
+    return f"trim(regexp_replace({plain}, ' +', ' ', 'g'))"
+
+
+_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in LICENCES + NOTICES)
+
+_LICENCES = f"""
+WITH known AS (
+    SELECT md5({_canonical("t")}) AS digest, min(l) AS licence FROM (VALUES {_KNOWN}) AS v(l, t) GROUP BY 1
+), lines AS (
+    SELECT doc_id, md5(c) AS digest
+    FROM (SELECT doc_id, {_canonical("line")} AS c
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
+    WHERE c <> ''
+), notices AS (
+    SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS notice_lines
+    FROM lines JOIN known USING (digest) GROUP BY doc_id
+), wholes AS (
+    SELECT doc_id, md5({_canonical("text")}) AS digest FROM documents
+)
+SELECT w.doc_id, w.digest, CASE WHEN w.digest <> md5('') THEN k.licence END AS licence,
+       coalesce(n.notices, '') AS notices, coalesce(n.notice_lines, 0) AS notice_lines
+FROM wholes w LEFT JOIN known k USING (digest) LEFT JOIN notices n ON n.doc_id = w.doc_id
+"""
+
+LLM_ORACLE: dict[str, str] = {"op5_licences": _LICENCES}

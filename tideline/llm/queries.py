@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import embedding_dedup, language_model, line_dedup, mixing, neighbours, packing, sharding, simhash, toxicity
+from tideline.llm import embedding_dedup, language_model, licences, line_dedup, mixing, neighbours, packing, sharding, simhash, toxicity
 from tideline.llm.texts import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+    return found.withColumn("notices", F.array_join("notices", ","))
+
+
 TOXIC_LEAST = 0.3
 
 
@@ -98,6 +103,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_licences": op5_licences,
     "op6_toxicity": op6_toxicity,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_language_model": op8_language_model,

@@ -11,7 +11,7 @@ def _quoted(text: str) -> str:
 
 def _canonical(text: str) -> str:
     """SQL for the normalised form of a text; lines of copyright are blanked, not dropped."""
-    mark = r"[^\\pL\\pN\\n]*"
+    mark = r"[^\pL\pN\n]*"
     lines = f"regexp_replace(lower({text}), '(?m)^{mark}(copyright|\\(c\\)|©).*$|^{mark}all rights reserved{mark}$', '', 'g')"
     plain = f"' ' || regexp_replace({lines}, '[^\\pL\\pN]+', ' ', 'g') || ' '"
     for found, one in SPELLINGS:

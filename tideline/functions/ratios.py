@@ -26,10 +26,19 @@ def count_where(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
-def steady_sum(amount: Column | str) -> Column:
-    """Sum of money amounts, the same however the rows are spread over tasks.
+#: Digits of amounts before and after the point that sums keep.
+MONEY_DIGITS, MONEY_SCALE = 28, 10
 
-    The last digits of a sum of doubles depend on the order of addition, enough
-    to tip a later rounding. Money has at most four decimals, so the rest goes.
+
+def exact_sum(amount: Column | str) -> Column:
+    """Decimal sum of money amounts, exact and the same however the rows are spread over tasks.
+
+    Amounts are taken to MONEY_SCALE decimals; round or divide the sum before it becomes a
+    double, and only once. One too large for the type, or not a number, raises.
     """
-    return F.round(F.sum(amount), 4)
+    return F.sum(_column(amount).cast(f"decimal({MONEY_DIGITS},{MONEY_SCALE})"))
+
+
+def rounded_money(total: Column | str, digits: int = 2) -> Column:
+    """A decimal sum rounded half up, as a double."""
+    return F.round(_column(total), digits).cast("double")

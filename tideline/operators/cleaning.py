@@ -44,10 +44,13 @@ def normalize_retail_columns(source: DataFrame) -> DataFrame:
 
 
 def _with_numbers(source: DataFrame) -> DataFrame:
-    """Normalized lines with numeric columns as doubles, NULL where missing.
+    """Normalized lines with numeric columns, NULL where missing.
 
     Blank text and NaN are the marks of a missing number; other text that is no
-    number raises.
+    number raises. Columns that are whole numbers already stay as they are, so
+    conditions on them reach the reader; a price is a double, and so is a quantity
+    given as text. A customer number given as text or as a fraction becomes a whole
+    number of 64 bits by way of a decimal, which keeps all its digits.
     """
     lines = normalize_retail_columns(source)
     types = dict(lines.dtypes)
@@ -56,10 +59,24 @@ def _with_numbers(source: DataFrame) -> DataFrame:
         column = F.col(name)
         if types[name] == "string":
             column = F.nullif(F.trim(column), F.lit(""))
-        value = column.cast("double")
-        return F.when(~F.isnan(value), value)
+            column = F.when(F.lower(column) != "nan", column)
+            return _whole(column.cast("decimal(38,6)")) if name == "CustomerID" else column.cast("double")
+        if types[name] in ("float", "double"):
+            column = F.when(~F.isnan(column), column)
+            return _whole(column.cast("decimal(38,6)")) if name == "CustomerID" else column.cast("double")
+        return column
 
-    return lines.withColumns({name: number(name) for name in ("Quantity", "UnitPrice", "CustomerID")})
+    wanted = ("Quantity", "UnitPrice", "CustomerID")
+    changed = {name: number(name) for name in wanted if types[name] not in ("tinyint", "smallint", "int", "bigint")}
+    return lines.withColumns(changed)
+
+
+def _whole(value: Column) -> Column:
+    return value.cast("bigint")
+
+
+def _not_cancelled() -> Column:
+    return ~F.col("InvoiceNo").cast("string").startswith("C")
 
 
 def _first_failed_rule() -> Column:
@@ -70,19 +87,30 @@ def _first_failed_rule() -> Column:
     """
     return (
         F.when(F.col("CustomerID").isNull(), NO_CUSTOMER)
-        .when(F.col("InvoiceNo").cast("string").startswith("C"), CANCELLED)
+        .when(~_not_cancelled(), CANCELLED)
         .when((F.col("Quantity") <= 0) | (F.col("UnitPrice") <= 0), NOT_POSITIVE)
     )
 
 
+def _kept() -> Column:
+    """True for a line that breaks no rule, as conjuncts that a reader or a join can take one by one."""
+    quantity, price = F.col("Quantity"), F.col("UnitPrice")
+    return (
+        F.col("CustomerID").isNotNull()
+        & (F.col("InvoiceNo").isNull() | _not_cancelled())
+        & (quantity.isNull() | (quantity > 0))
+        & (price.isNull() | (price > 0))
+    )
+
+
 def clean_retail(source: DataFrame, date_format: str | None = None) -> DataFrame:
     """Lines of known customers that are neither cancelled nor non-positive.
 
     Adds ``TotalPrice``. Text dates are read as ISO unless ``date_format`` gives
     a pattern. Text that is no number or date raises, as does a fractional quantity,
-    for which the curated table has no type.
+    for which the curated table has no type. Customer numbers have 64 bits.
     """
-    lines = _with_numbers(source).filter(_first_failed_rule().isNull())
+    lines = _with_numbers(source).filter(_kept())
     if date_format is None:
         sold_at = F.col("InvoiceDate").cast("timestamp_ntz")
     else:
@@ -96,7 +124,7 @@ def clean_retail(source: DataFrame, date_format: str | None = None) -> DataFrame
             "InvoiceNo": F.col("InvoiceNo").cast("string"),
             "Quantity": units,
             "InvoiceDate": sold_at,
-            "CustomerID": F.col("CustomerID").cast("int"),
+            "CustomerID": F.col("CustomerID").cast("bigint"),
             "TotalPrice": quantity * F.col("UnitPrice"),
         }
     )

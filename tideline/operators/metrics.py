@@ -6,11 +6,13 @@ Operators take product events. Months are grouped as dates and labelled
 
 from __future__ import annotations
 
+from dataclasses import asdict, dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.dates import month_label, month_of
-from tideline.functions.ratios import count_where, percent, ratio, steady_sum
+from tideline.functions.ratios import count_where, exact_sum, percent, ratio, rounded_money
 
 # Event names and results the metrics look for.
 SIGNUP = "signup"
@@ -19,10 +21,41 @@ CHECK_EVENT = "complete_kyc"
 APPROVED = "kyc_approved"
 REJECTED = "kyc_rejected"
 
-# Fixed value: note shown with the lifetime value.
+# Fixed value: note shown with the lifetime value. It says six months whatever the data hold.
 LTV_NOTE = "Aproximacion: ventana de datos de 6 meses, no cohorte madura"
 
 
+@dataclass(frozen=True)
+class EventColumns:
+    """Names that the operators' columns have in an event table."""
+
+    user_id: str = "user_id"
+    channel: str = "channel"
+    event_name: str = "event_name"
+    event_timestamp: str = "event_timestamp"
+    amount: str = "amount"
+    is_fraud: str = "is_fraud"
+    kyc_result: str = "kyc_result"
+
+
+@dataclass(frozen=True)
+class CostColumns:
+    """Names that the operators' columns have in a cost table."""
+
+    channel: str = "channel"
+    month: str = "month"
+    acquisition_cost_pen: str = "acquisition_cost_pen"
+
+
+EVENTS, COSTS = EventColumns(), CostColumns()
+
+
+def _named(frame: DataFrame, columns: EventColumns | CostColumns) -> DataFrame:
+    """The columns that are there, under the operators' names."""
+    there = {name: given for name, given in asdict(columns).items() if given in frame.columns}
+    return frame.select(*[F.col(given).alias(name) for name, given in there.items()])
+
+
 def _transactions(events: DataFrame) -> DataFrame:
     return events.filter(F.col("event_name").isin(*TRANSACTIONS)).select(
         month_of("event_timestamp").alias("month_start"), "user_id", "amount", "is_fraud"
@@ -55,10 +88,12 @@ def _new_users_with_cost(events: DataFrame, costs: DataFrame) -> DataFrame:
     return new_users.join(spent, ["channel", "month"])
 
 
-def cac(events: DataFrame, costs: DataFrame) -> DataFrame:
+def cac(
+    events: DataFrame, costs: DataFrame, columns: EventColumns = EVENTS, cost_columns: CostColumns = COSTS
+) -> DataFrame:
     """Cost per new user of each channel and month."""
     return (
-        _new_users_with_cost(events, costs)
+        _new_users_with_cost(_named(events, columns), _named(costs, cost_columns))
         .select(
             "channel",
             "month",
@@ -70,7 +105,7 @@ def cac(events: DataFrame, costs: DataFrame) -> DataFrame:
     )
 
 
-def kyc_rates(events: DataFrame) -> DataFrame:
+def kyc_rates(events: DataFrame, columns: EventColumns = EVENTS) -> DataFrame:
     """Identity checks per channel and in total, with the total (NULL channel) last.
 
     The total adds up the channels' counts instead of grouping every event twice;
@@ -78,7 +113,8 @@ def kyc_rates(events: DataFrame) -> DataFrame:
     """
     result = F.col("kyc_result")
     per_channel = (
-        events.filter(F.col("event_name") == CHECK_EVENT)
+        _named(events, columns)
+        .filter(F.col("event_name") == CHECK_EVENT)
         .groupBy("channel")
         .agg(
             F.count("*").alias("total_kyc"),
@@ -108,34 +144,34 @@ def kyc_rates(events: DataFrame) -> DataFrame:
     )
 
 
-def monthly_transactions(events: DataFrame) -> DataFrame:
+def monthly_transactions(events: DataFrame, columns: EventColumns = EVENTS) -> DataFrame:
     """First and repeat transactions with their month."""
-    return _transactions(events).select(
+    return _transactions(_named(events, columns)).select(
         month_label("month_start").alias("month"), "user_id", "amount", "is_fraud"
     )
 
 
-def tpv(events: DataFrame) -> DataFrame:
+def tpv(events: DataFrame, columns: EventColumns = EVENTS) -> DataFrame:
     """Payment volume, number of transactions and mean ticket per month."""
     volumes = (
-        _transactions(events)
+        _transactions(_named(events, columns))
         .groupBy("month_start")
         .agg(
-            F.round(steady_sum("amount"), 2).alias("tpv_pen"),
+            rounded_money(exact_sum("amount")).alias("tpv_pen"),
             F.count("*").alias("n_transacciones"),
-            F.round(ratio(steady_sum("amount"), F.count("amount")), 2).alias("ticket_promedio_pen"),
+            F.round(ratio(exact_sum("amount"), F.count("amount")), 2).alias("ticket_promedio_pen"),
         )
     )
     return _with_month(volumes)
 
 
-def arpu(events: DataFrame) -> DataFrame:
+def arpu(events: DataFrame, columns: EventColumns = EVENTS) -> DataFrame:
     """Payment volume (unrounded), active users and volume per user, per month."""
     volumes = (
-        _transactions(events)
+        _transactions(_named(events, columns))
         .groupBy("month_start")
         .agg(
-            steady_sum("amount").alias("tpv_pen"),
+            exact_sum("amount").cast("double").alias("tpv_pen"),
             F.count_distinct("user_id").alias("usuarios_activos"),
         )
         .withColumn("arpu_pen", F.round(ratio("tpv_pen", "usuarios_activos"), 2))
@@ -153,13 +189,13 @@ def _ltv_parts(events: DataFrame) -> DataFrame:
     user_months = (
         _transactions(events)
         .groupBy("user_id", "month_start")
-        .agg(F.sum("amount").alias("amount"))
+        .agg(exact_sum("amount").alias("amount"))
     )
     by_month_and_user = user_months.groupingSets(
         [["month_start"], ["user_id"]], "month_start", "user_id"
     ).agg(
         F.grouping("user_id").alias("is_month"),
-        ratio(steady_sum("amount"), F.count("user_id")).alias("revenue_per_user"),
+        ratio(F.sum("amount"), F.count("user_id")).alias("revenue_per_user"),
         F.count("month_start").alias("active_months"),
     )
     is_month = F.col("is_month") == 1
@@ -169,9 +205,9 @@ def _ltv_parts(events: DataFrame) -> DataFrame:
     )
 
 
-def ltv(events: DataFrame) -> DataFrame:
+def ltv(events: DataFrame, columns: EventColumns = EVENTS) -> DataFrame:
     """Simple lifetime value: mean monthly revenue per user x mean active months."""
-    return _ltv_parts(events).select(
+    return _ltv_parts(_named(events, columns)).select(
         F.round("arpu", 2).alias("arpu_promedio_pen"),
         F.round("months", 2).alias("retencion_promedio_meses"),
         F.round(F.col("arpu") * F.col("months"), 2).alias("ltv_simplificado_pen"),
@@ -179,18 +215,21 @@ def ltv(events: DataFrame) -> DataFrame:
     )
 
 
-def ltv_to_cac(events: DataFrame, costs: DataFrame) -> DataFrame:
+def ltv_to_cac(
+    events: DataFrame, costs: DataFrame, columns: EventColumns = EVENTS, cost_columns: CostColumns = COSTS
+) -> DataFrame:
     """Lifetime value over acquisition cost per channel, best channel first.
 
     A channel's cost is all it spent over all its new users, not the mean of its
     months. The lifetime value is one number for all channels and enters as a
     scalar subquery.
     """
+    events, costs = _named(events, columns), _named(costs, cost_columns)
     lifetime = _ltv_parts(events).select((F.col("arpu") * F.col("months")).alias("ltv")).scalar()
     channels = (
         _new_users_with_cost(events, costs)
         .groupBy("channel")
-        .agg(ratio(steady_sum("acquisition_cost_pen"), F.sum("nuevos_usuarios")).alias("cac"))
+        .agg(ratio(exact_sum("acquisition_cost_pen"), F.sum("nuevos_usuarios")).alias("cac"))
         .withColumn("ltv", lifetime)
     )
     return channels.select(
@@ -201,10 +240,10 @@ def ltv_to_cac(events: DataFrame, costs: DataFrame) -> DataFrame:
     ).orderBy(F.desc_nulls_last("ratio_ltv_cac"))
 
 
-def fraud_rate(events: DataFrame) -> DataFrame:
+def fraud_rate(events: DataFrame, columns: EventColumns = EVENTS) -> DataFrame:
     """Transactions, fraudulent ones and their percentage (3 digits) per month."""
     frauds = (
-        _transactions(events)
+        _transactions(_named(events, columns))
         .groupBy("month_start")
         .agg(
             F.count("*").alias("total_transacciones"),

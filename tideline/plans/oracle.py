@@ -13,8 +13,8 @@ def _rounded(expression: str, digits: int) -> str:
 
 
 def _sum(expression: str) -> str:
-    # Exact, whatever the order: the amounts have at most four decimals.
-    return f"CAST(sum(CAST({expression} AS DECIMAL(30, 4))) AS DOUBLE)"
+    # Exact, whatever the order.
+    return f"CAST(sum(CAST({expression} AS DECIMAL(28, 10))) AS DOUBLE)"
 
 
 def _percent(part: str, whole: str, digits: int = 2) -> str:
@@ -383,7 +383,7 @@ FROM tx GROUP BY 1
 """,
     "arpu": f"""
 WITH {ORDER_MONTHS}
-SELECT month, {_rounded(_sum('amount'), 2)} AS tpv_pen, count(DISTINCT user_id) AS usuarios_activos,
+SELECT month, {_sum('amount')} AS tpv_pen, count(DISTINCT user_id) AS usuarios_activos,
        {_rounded(_sum('amount') + ' / count(DISTINCT user_id)', 2)} AS arpu_pen
 FROM tx GROUP BY 1
 """,
@@ -413,7 +413,7 @@ FROM tx GROUP BY 1
     "clean_retail": f"""
 WITH {RETAIL}
 SELECT invoice AS InvoiceNo, stock AS StockCode, description AS Description, quantity AS Quantity,
-       sold_at AS InvoiceDate, price AS UnitPrice, CAST(customer AS INTEGER) AS CustomerID,
+       sold_at AS InvoiceDate, price AS UnitPrice, CAST(customer AS BIGINT) AS CustomerID,
        country AS Country, total AS TotalPrice
 FROM kept
 """,
@@ -432,7 +432,7 @@ FROM a, b, c, d
     "curate_retail": f"""
 WITH {RETAIL}
 SELECT invoice AS invoice_no, stock AS stock_code, description, quantity, sold_at AS invoice_date,
-       price AS unit_price, CAST(customer AS INTEGER) AS customer_id, country, total AS total_price,
+       price AS unit_price, CAST(customer AS BIGINT) AS customer_id, country, total AS total_price,
        CAST(year(sold_at) AS VARCHAR) AS year, CAST(month(sold_at) AS VARCHAR) AS month
 FROM kept
 """,
@@ -455,7 +455,7 @@ FROM kept GROUP BY 1
     "retail_csv_roundtrip": f"""
 WITH {RETAIL}
 SELECT CAST(year(sold_at) AS VARCHAR) AS year, CAST(month(sold_at) AS VARCHAR) AS month,
-       count(*) AS lines, count(DISTINCT invoice) AS invoices, CAST(max(customer) AS INTEGER) AS last_customer,
+       count(*) AS lines, count(DISTINCT invoice) AS invoices, CAST(max(customer) AS BIGINT) AS last_customer,
        CAST(sum(quantity) AS BIGINT) AS units, min(sold_at) AS first_invoice,
        max(description) AS last_description, {_rounded(_sum('total'), 2)} AS revenue
 FROM kept GROUP BY 1, 2
@@ -463,4 +463,23 @@ FROM kept GROUP BY 1, 2
     "events_parquet_roundtrip": f"WITH {PRODUCT_EVENTS}, {_STEP_FUNNEL}",
 }
 
-ORACLE["export_roundtrip"] = ORACLE["cohort_matrix"]
+ORACLE |= {
+    "export_roundtrip": ORACLE["cohort_matrix"],
+    "events_csv_funnel": ORACLE["step_funnel"],
+    "events_csv_kyc_rates": ORACLE["kyc_rates"],
+    "ab_rates_csv": ORACLE["ab_rates"],
+    "ab_significance_csv": ORACLE["ab_significance"],
+    "cac_csv": ORACLE["cac"],
+    "catalog_partitions": f"""
+WITH {PRODUCT_EVENTS}
+SELECT CAST(year(event_timestamp) AS VARCHAR) AS year, CAST(month(event_timestamp) AS VARCHAR) AS month,
+       count(*) AS eventos,
+       count(*) FILTER (event_name IN ('first_transaction', 'repeat_transaction')) AS pagos
+FROM pe GROUP BY 1, 2
+""",
+    "retail_of_one_month": f"""
+WITH {RETAIL}
+SELECT country, count(*) AS lines, {_rounded(_sum('total'), 2)} AS revenue
+FROM kept WHERE year(sold_at) = 1997 AND month(sold_at) = 3 GROUP BY 1
+""",
+}

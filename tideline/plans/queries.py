@@ -7,20 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.ratios import steady_sum
+from tideline.functions.ratios import exact_sum, rounded_money
 from tideline.operators import abtest, cleaning, cohorts, engagement, funnel, metrics, product
 from tideline.plans import mappings
-from tideline.plans.storage import shared_folder
+from tideline.plans.storage import shared_folder, written
 from tideline.sources import (
+    create_database,
     curate_product_events,
     curate_retail,
     export_csv,
     read_curated,
     read_raw,
     read_retail_source,
+    refresh_partitions,
+    register_curated,
     write_curated,
     write_raw,
 )
+from tideline.sources.schemas import RAW_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +45,7 @@ def retail_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("quantity").alias("units"),
             F.min("invoice_date").alias("first_invoice"),
             F.max("description").alias("last_description"),
-            F.round(steady_sum("total_price"), 2).alias("revenue"),
+            rounded_money(exact_sum("total_price")).alias("revenue"),
         )
     )
 
@@ -55,9 +59,12 @@ def events_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retail_sources_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two uncleaned exports, one without descriptions, read back and cleaned."""
+    """Two uncleaned exports, one without descriptions, read back and cleaned.
+
+    The joined lines are written once, and both exports made from them.
+    """
     folder = shared_folder(spark)
-    lines = mappings.retail_source(spark, sf_dir)
+    lines = written(mappings.retail_source(spark, sf_dir), f"{folder}/lines")
     text = {"header": "true", "encoding": "ISO-8859-1", "escape": '"'}
     older = F.col("InvoiceDate") < F.lit("1998-01-01").cast("date")
     lines.filter(older).write.options(**text).csv(f"{folder}/older")
@@ -72,11 +79,79 @@ def retail_sources_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count("Description").alias("described"),
             F.sum("Quantity").alias("units"),
             F.max("InvoiceDate").alias("last_invoice"),
-            F.round(steady_sum("TotalPrice"), 2).alias("revenue"),
+            rounded_money(exact_sum("TotalPrice")).alias("revenue"),
         )
     )
 
 
+def events_csv_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw CSV events, with their empty texts and fractions of seconds, curated, into the step funnel."""
+    return product.step_funnel(_curated_csv_events(spark, sf_dir))
+
+
+def events_csv_kyc_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same into the identity check rates."""
+    return metrics.kyc_rates(_curated_csv_events(spark, sf_dir))
+
+
+def _curated_csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/events"
+    write_raw(mappings.raw_product_events(spark, sf_dir), path)
+    return curate_product_events(read_raw(spark, path, "product_events"))
+
+
+def _csv_ab_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/ab_test"
+    write_raw(mappings.ab_test(spark, sf_dir).select(*RAW_COLUMNS["ab_test"]), path)
+    return read_raw(spark, path, "ab_test")
+
+
+def cac_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost per new user from raw CSV costs."""
+    path = f"{shared_folder(spark)}/costs"
+    write_raw(mappings.channel_costs(spark, sf_dir), path)
+    return metrics.cac(mappings.order_events(spark, sf_dir), read_raw(spark, path, "acquisition_costs"))
+
+
+def catalog_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated events registered in a database, their partitions recovered, counted through SQL.
+
+    The database is new for each call, in Spark's own catalog, and holds only the entry:
+    the files stay in the shared folder.
+    """
+    folder = shared_folder(spark)
+    write_curated(curate_product_events(mappings.raw_product_events(spark, sf_dir)), f"{folder}/events")
+    database = "tideline_" + folder.rpartition("-")[2].replace("/", "_")
+    create_database(spark, database)
+    register_curated(spark, f"{database}.product_events", f"{folder}/events", "product_events")
+    refresh_partitions(spark, f"{database}.product_events")
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {database}.pagos AS SELECT * FROM {database}.product_events "
+        "WHERE event_name IN ('first_transaction', 'repeat_transaction')"
+    )
+    return spark.sql(
+        f"SELECT e.year, e.month, e.eventos, coalesce(p.pagos, 0) AS pagos "
+        f"FROM (SELECT year, month, count(*) AS eventos FROM {database}.product_events GROUP BY ALL) e "
+        f"LEFT JOIN (SELECT year, month, count(*) AS pagos FROM {database}.pagos GROUP BY ALL) p "
+        "ON e.year = p.year AND e.month = p.month"
+    )
+
+
+# The month of the pruned query, as the partition columns spell it.
+ONE_MONTH = ("1997", "3")
+
+
+def retail_of_one_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One month of the curated lines per country; the reader opens that partition alone."""
+    path = f"{shared_folder(spark)}/retail"
+    write_curated(_curated_retail(spark, sf_dir), path)
+    year, month = ONE_MONTH
+    lines = read_curated(spark, path, "online_retail").filter((F.col("year") == year) & (F.col("month") == month))
+    return lines.groupBy("country").agg(
+        F.count("*").alias("lines"), rounded_money(exact_sum("total_price")).alias("revenue")
+    )
+
+
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cohort matrix through a result file."""
     path = f"{shared_folder(spark)}/cohorts"
@@ -163,6 +238,13 @@ QUERIES: dict[str, Query] = {
     "retail_csv_roundtrip": retail_csv_roundtrip,
     "events_parquet_roundtrip": events_parquet_roundtrip,
     "export_roundtrip": export_roundtrip,
+    "events_csv_funnel": events_csv_funnel,
+    "events_csv_kyc_rates": events_csv_kyc_rates,
+    "ab_rates_csv": _query(abtest.ab_rates, _csv_ab_test),
+    "ab_significance_csv": _query(lambda ab: _rounded_test(abtest.ab_significance(ab)), _csv_ab_test),
+    "cac_csv": cac_csv,
+    "catalog_partitions": catalog_partitions,
+    "retail_of_one_month": retail_of_one_month,
 }
 
 

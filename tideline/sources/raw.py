@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.sources.schemas import RAW_COLUMNS, raw_schema
 
@@ -13,14 +14,20 @@ from tideline.sources.schemas import RAW_COLUMNS, raw_schema
 _CSV = {"header": "true", "sep": ",", "quote": '"', "escape": '"'}
 
 
-def read_raw(spark: SparkSession, path: str | Sequence[str], table: str) -> DataFrame:
+def read_raw(
+    spark: SparkSession, path: str | Sequence[str], table: str, multi_line: bool = False
+) -> DataFrame:
     """Raw CSV of one of the fixed tables; names come from position, not header.
 
     Each file's first line is skipped. Files are split across tasks, so a field
-    may not contain a line break.
+    may not contain a line break unless ``multi_line`` is set; a file is then read by
+    a single task. A record with too few or too many fields raises, as does the first
+    half of one that a line break cut in two.
     """
     paths = path if isinstance(path, str) else list(path)
-    return spark.read.schema(raw_schema(table)).options(**_CSV, enforceSchema="true").csv(paths)
+    return spark.read.schema(raw_schema(table)).options(
+        **_CSV, enforceSchema="true", mode="FAILFAST", multiLine=str(multi_line).lower()
+    ).csv(paths)
 
 
 def register_raw(spark: SparkSession, name: str, path: str, table: str) -> None:
@@ -57,8 +64,17 @@ def read_retail_source(
 
 
 def write_raw(cleaned: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Raw-layer CSV of a typed frame; times as whole seconds, NULL as empty."""
-    cleaned.write.mode(mode).options(
+    """Raw-layer CSV of a typed frame; times as whole seconds, NULL as empty.
+
+    A line break inside a text raises: readers that split files would cut its record in two.
+    """
+    broken = F.raise_error(F.lit("a text holds a line break, which raw CSV files cannot"))
+    checked = {
+        name: F.when(F.col(name).rlike(r"[\r\n]"), broken).otherwise(F.col(name))
+        for name, kind in cleaned.dtypes
+        if kind == "string"
+    }
+    cleaned.withColumns(checked).write.mode(mode).options(
         **_CSV,
         timestampFormat="yyyy-MM-dd HH:mm:ss",
         timestampNTZFormat="yyyy-MM-dd HH:mm:ss",

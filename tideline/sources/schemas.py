@@ -36,7 +36,8 @@ CURATED_TYPES: dict[str, dict[str, T.DataType]] = {
         "quantity": T.IntegerType(),
         "invoice_date": T.TimestampNTZType(),
         "unit_price": T.DoubleType(),
-        "customer_id": T.IntegerType(),
+        # Wider than the reference's 32 bits, which larger sources exceed.
+        "customer_id": T.LongType(),
         "total_price": T.DoubleType(),
     },
     "product_events": {

@@ -2,12 +2,11 @@
 
 A partial partition is a tuple of shard sizes. Differencing combines the two
 partial partitions of largest spread, the largest shard of one with the smallest
-of the other, until one is left. Here it runs in levels: groups are dealt by hash
-to tasks of about TASK_ROWS groups, each of which differences its own to one
-partial partition; these are the items of the next level, so a level has about
-TASK_ROWS times fewer, and the last has one. Each level keeps, for every item, the
-order in which its shards went into the combined one, and a document's shard
-follows from the top down.
+of the other, until one is left. Groups are dealt by hash to tasks of about
+TASK_ROWS groups, each of which differences its own. A group that is large against
+a whole task could not be made up for there; such groups, at most one in
+TASK_ROWS / (4 * shards), are assigned first, by the same rule, and every task starts
+from its share of what they put on the shards, so that the small groups fill up.
 """
 
 from __future__ import annotations
@@ -66,46 +65,38 @@ def differenced(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return parts, state[heap[0][1]]
 
 
-def _level(items: DataFrame, shards: int, tasks: int) -> DataFrame:
-    """(item, task, parts, sizes): ``sizes`` of the combined partition on one row of each task."""
+def _dealt(groups: DataFrame, shards: int, tasks: int, start: list[int], total: int) -> DataFrame:
+    """(item, size, shard): each task differences its groups with its share of ``start``, the shards' sizes so far."""
 
     def combine(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("item", kind="stable")
-        parts, sizes = differenced(np.stack(frame["sizes"].to_numpy()).astype(np.int64))
-        return pd.DataFrame(
-            {
-                "item": frame["item"].to_numpy(),
-                "task": frame["task"].to_numpy(),
-                "parts": list(parts),
-                "sizes": [sizes, *[None] * (len(frame) - 1)],
-            }
-        )
-
-    dealt = items.withColumn("task", F.pmod(F.xxhash64("item"), F.lit(tasks)))
-    return dealt.groupBy("task").applyInPandas(
-        combine, "item string, task long, parts array<long>, sizes array<long>"
-    )
+        frame = frame.sort_values(["size", "item"], kind="stable")
+        own = frame["size"].to_numpy(dtype=np.int64)
+        sizes = np.zeros((len(own) + 1, shards), dtype=np.int64)
+        sizes[0] = [int(already * int(own.sum()) // max(1, total)) for already in start]
+        sizes[1:, 0] = own
+        parts, _ = differenced(sizes)
+        label = np.argsort(parts[0])
+        return pd.DataFrame({"item": frame["item"], "size": own, "shard": label[parts[1:, 0]]})
+
+    dealt = groups.withColumn("task", F.pmod(F.xxhash64("item"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(combine, "item string, size long, shard int")
 
 
 def balanced_groups(groups: DataFrame, shards: int = SHARDS, task_rows: int = TASK_ROWS) -> DataFrame:
-    """(item, shard) for groups given as (item string, size long)."""
+    """(item, size, shard) for groups given as (item string, size long), which is read several times."""
+    task_rows = max(task_rows, 8 * shards)
+    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, -(-count // task_rows))
+    if tasks == 1:
+        return _dealt(groups, shards, 1, [0] * shards, total)
     folder = shared_folder(groups.sparkSession)
-    empty = F.array(*[F.lit(0).cast("long")] * (shards - 1))
-    items = groups.select("item", F.concat(F.array("size"), empty).alias("sizes"))
-    levels = []
-    while True:
-        tasks = max(1, -(-items.count() // task_rows))
-        level = written(_level(items, shards, tasks), f"{folder}/level-{len(levels)}")
-        levels.append(level)
-        if tasks == 1:
-            break
-        items = level.where("sizes IS NOT NULL").select(F.col("task").cast("string").alias("item"), "sizes")
-    placed = levels[-1].select("item", F.col("parts").alias("to"))
-    for level in reversed(levels[:-1]):
-        below = level.select(F.col("item").alias("below"), F.col("task").cast("string").alias("item"), "parts")
-        through = F.transform("parts", lambda p: F.element_at("to", (p + 1).cast("int")))
-        placed = below.join(placed, "item").select(F.col("below").alias("item"), through.alias("to"))
-    return placed.select("item", F.element_at("to", 1).cast("int").alias("shard"))
+    least = total // (4 * shards * tasks)
+    large = balanced_groups(groups.where(F.col("size") > least), shards, task_rows)
+    large = written(large, f"{folder}/large")
+    start = {r["shard"]: r["size"] for r in large.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+    already = [start.get(shard, 0) for shard in range(shards)]
+    small = groups.where(F.col("size") <= least)
+    return large.union(_dealt(small, shards, tasks, already, total - sum(already)))
 
 
 def shard_documents(
@@ -130,9 +121,10 @@ def shard_documents(
     )
     rows = written(rows, f"{folder}/rows")
     groups = rows.groupBy(F.col("group").alias("item")).agg(F.sum("size").alias("size"))
+    groups = written(groups, f"{folder}/groups")
     if rows.isEmpty():
         return rows.select("*", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
-    shard = balanced_groups(groups, shards, task_rows).withColumnRenamed("item", "group")
+    shard = balanced_groups(groups, shards, task_rows).select(F.col("item").alias("group"), "shard")
     placed = written(rows.join(shard, "group"), f"{folder}/placed")
     buckets = max(1, -(-placed.count() // (BUCKET_ROWS * shards)))
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64(id_col, "group"), F.lit(buckets)))

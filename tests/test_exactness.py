@@ -1,0 +1,127 @@
+"""Exact sums, wide customer numbers, pushed-down cleaning, safe raw files and folders."""
+
+import decimal
+
+import pytest
+from plans import executed
+from pyspark.sql import functions as F
+
+from tideline.functions.ratios import exact_sum, rounded_money
+from tideline.operators import cleaning, metrics
+from tideline.plans import mappings
+from tideline.plans.queries import QUERIES
+from tideline.plans.storage import shared_folder
+from tideline.sources import curate_retail, read_raw, write_raw
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize(("amount", "rounded"), [(1.00496, 1.0), (0.123456, 0.12), (2.675, 2.68)])
+def test_money_is_rounded_once(events, amount, rounded):
+    paid = events(("u", "first_transaction", "2024-01-05", amount))
+    assert metrics.tpv(paid).first()["tpv_pen"] == rounded
+    assert metrics.arpu(paid).first()["tpv_pen"] == amount
+
+
+def test_sums_do_not_depend_on_the_tasks(spark):
+    totals = set()
+    for tasks in (4, 50):
+        rows = spark.range(4_000_000, numPartitions=tasks)
+        amount = (F.pmod(F.xxhash64("id"), F.lit(30_000_000)) / 100).cast("double")
+        totals.add(rows.agg(exact_sum(amount)).first()[0])
+    cents = spark.range(4_000_000).agg(F.sum(F.pmod(F.xxhash64("id"), F.lit(30_000_000)))).first()[0]
+    assert totals == {decimal.Decimal(cents) / 100}
+    total = spark.range(3).agg(rounded_money(exact_sum(F.lit(0.005)))).first()[0]
+    assert total == 0.02
+
+
+RETAIL = ("A1", "s", "d", 2, "2020-01-02", 1.5, "x")
+
+
+def retail(spark, customer, kind):
+    columns = (
+        f"Invoice string, StockCode string, Description string, Quantity int, InvoiceDate string, Price double, "
+        f"`Customer ID` {kind}, Country string"
+    )
+    return spark.createDataFrame([(*RETAIL[:6], customer, RETAIL[6])], columns)
+
+
+@pytest.mark.parametrize(
+    ("customer", "kind", "number"),
+    [
+        (3_000_000_000, "bigint", 3_000_000_000),
+        (2**53 + 1, "bigint", 2**53 + 1),
+        (str(2**53 + 1), "string", 2**53 + 1),
+        ("17850.0", "string", 17850),
+        (17850.0, "double", 17850),
+    ],
+)
+def test_customer_numbers_keep_their_digits(spark, customer, kind, number):
+    (row,) = cleaning.clean_retail(retail(spark, customer, kind)).collect()
+    assert row["CustomerID"] == number
+
+
+@pytest.mark.parametrize(("customer", "kind"), [(float("nan"), "double"), ("nan", "string"), (" ", "string")])
+def test_missing_customers_go(spark, customer, kind):
+    assert cleaning.clean_retail(retail(spark, customer, kind)).count() == 0
+
+
+def test_cleaning_reaches_the_reader(spark, tmp_path):
+    mappings.retail_source(spark, SMALL).write.parquet(str(tmp_path / "flat"))
+    plan = executed(cleaning.clean_retail(spark.read.parquet(str(tmp_path / "flat"))))
+    pushed = plan[plan.index("PushedFilters") :].splitlines()[0]
+    for part in ("IsNotNull(Customer ID)", "GreaterThan(Quantity,0)", "StringStartsWith(Invoice,C)", "GreaterThan(Price,0.0)"):
+        assert part in pushed
+
+
+def test_line_breaks_do_not_reach_raw_files(spark, tmp_path):
+    rows = spark.createDataFrame([("two\nlines", "control", "1")], "customer_id string, variant string, converted string")
+    with pytest.raises(Exception, match="line break"):
+        write_raw(rows, str(tmp_path / "out"))
+
+
+def test_raw_records_of_another_width_raise(spark, tmp_path):
+    (tmp_path / "ab.csv").write_text('customer_id,variant,converted\n1,control,1\n2,"te\nst",0\n3,test\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_raw(spark, str(tmp_path), "ab_test").collect()
+    (tmp_path / "ab.csv").write_text('customer_id,variant,converted\n1,control,1\n2,"te\nst",0\n')
+    rows = read_raw(spark, str(tmp_path), "ab_test", multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [("1", "control", "1"), ("2", "te\nst", "0")]
+
+
+class Settings(dict):
+    def get(self, key, default=None):
+        return super().get(key, default)
+
+
+class Session:
+    def __init__(self, **settings):
+        self.conf = Settings({key.replace("__", "."): value for key, value in settings.items()})
+
+
+def test_a_cluster_needs_a_shared_folder():
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(Session(spark__master=master))
+    assert shared_folder(Session(spark__master="yarn", spark__checkpoint__dir="hdfs:///x/")).startswith("hdfs:///x/tide")
+    assert shared_folder(Session(spark__master="local[4]"))
+
+
+def test_one_month_opens_one_partition(spark):
+    frame = QUERIES["retail_of_one_month"](spark, SMALL)
+    plan = executed(frame)
+    filters = plan[plan.index("PartitionFilters") :].splitlines()[0]
+    assert "year" in filters and "month" in filters
+
+
+def test_metrics_take_other_names(spark, events):
+    paid = events(("u", "first_transaction", "2024-01-05", 2.5), ("u", "signup", "2024-01-04"))
+    other = paid.toDF("who", "what", "at", "worth", "bad", "checked", "via")
+    names = metrics.EventColumns("who", "via", "what", "at", "worth", "bad", "checked")
+    for operator in (metrics.tpv, metrics.arpu, metrics.ltv, metrics.fraud_rate, metrics.kyc_rates):
+        assert operator(other, columns=names).collect() == operator(paid).collect()
+
+
+def test_curated_customers_have_64_bits(spark):
+    assert dict(QUERIES["curate_retail"](spark, SMALL).dtypes)["customer_id"] == "bigint"
+    assert curate_retail is not None

@@ -44,12 +44,11 @@ def normalize_retail_columns(source: DataFrame) -> DataFrame:
 
 
 def _with_numbers(source: DataFrame) -> DataFrame:
-    """Normalized lines with numeric columns, NULL where missing.
+    """Normalized lines with numeric columns, NULL (a price or quantity also NaN) where missing.
 
     Blank text and NaN are the marks of a missing number; other text that is no
-    number raises. Columns that are whole numbers already stay as they are, so
-    conditions on them reach the reader; a price is a double, and so is a quantity
-    given as text. A customer number given as text or as a fraction becomes a whole
+    number raises. Columns that are numbers already stay as they are, NaN with them, so
+    conditions on them reach the reader; text becomes a double. A customer number given as text or as a fraction becomes a whole
     number of 64 bits by way of a decimal, which keeps all its digits.
     """
     lines = normalize_retail_columns(source)
@@ -61,16 +60,23 @@ def _with_numbers(source: DataFrame) -> DataFrame:
             column = F.nullif(F.trim(column), F.lit(""))
             column = F.when(F.lower(column) != "nan", column)
             return _whole(column.cast("decimal(38,6)")) if name == "CustomerID" else column.cast("double")
-        if types[name] in ("float", "double"):
-            column = F.when(~F.isnan(column), column)
-            return _whole(column.cast("decimal(38,6)")) if name == "CustomerID" else column.cast("double")
-        return column
+        if name == "CustomerID" and types[name] in ("float", "double"):
+            return _whole(F.when(~F.isnan(column), column).cast("decimal(38,6)"))
+        return column if types[name] == "double" else column.cast("double")
 
     wanted = ("Quantity", "UnitPrice", "CustomerID")
-    changed = {name: number(name) for name in wanted if types[name] not in ("tinyint", "smallint", "int", "bigint")}
+    changed = {name: number(name) for name in wanted if types[name] not in _WHOLE_TYPES}
     return lines.withColumns(changed)
 
 
+_WHOLE_TYPES = ("tinyint", "smallint", "int", "bigint")
+
+
+def _not_nan(lines: DataFrame, name: str) -> Column:
+    column = F.col(name)
+    return column if dict(lines.dtypes)[name] in _WHOLE_TYPES else F.when(~F.isnan(column), column)
+
+
 def _whole(value: Column) -> Column:
     return value.cast("bigint")
 
@@ -93,7 +99,10 @@ def _first_failed_rule() -> Column:
 
 
 def _kept() -> Column:
-    """True for a line that breaks no rule, as conjuncts that a reader or a join can take one by one."""
+    """True for a line that breaks no rule, as conjuncts that a reader or a join can take one by one.
+
+    NaN is larger than any number, so a NaN price or quantity stays, as a missing one does.
+    """
     quantity, price = F.col("Quantity"), F.col("UnitPrice")
     return (
         F.col("CustomerID").isNotNull()
@@ -115,7 +124,7 @@ def clean_retail(source: DataFrame, date_format: str | None = None) -> DataFrame
         sold_at = F.col("InvoiceDate").cast("timestamp_ntz")
     else:
         sold_at = F.to_timestamp_ntz(F.col("InvoiceDate"), F.lit(date_format))
-    quantity = F.col("Quantity")
+    quantity, price = _not_nan(lines, "Quantity"), _not_nan(lines, "UnitPrice")
     units = F.when(
         quantity != F.floor(quantity), F.raise_error(F.lit("Quantity is not a whole number"))
     ).otherwise(quantity.cast("int"))
@@ -125,7 +134,8 @@ def clean_retail(source: DataFrame, date_format: str | None = None) -> DataFrame
             "Quantity": units,
             "InvoiceDate": sold_at,
             "CustomerID": F.col("CustomerID").cast("bigint"),
-            "TotalPrice": quantity * F.col("UnitPrice"),
+            "UnitPrice": price.cast("double"),
+            "TotalPrice": quantity * price.cast("double"),
         }
     )
 

@@ -1,0 +1,109 @@
+"""Every stage of the pipeline against brute force on what the stage before it kept."""
+
+import itertools
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tideline.llm import line_dedup, queries, simhash, toxicity
+from tideline.llm.texts import lane_table
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """What each stage was given and what it kept, by name."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs, found = spark.read.parquet(f"{SMALL}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SMALL).write.parquet(f"{folder}/{name}")
+        kept = spark.read.parquet(f"{folder}/{name}")
+        found[name] = ([r.asDict() for r in docs.collect()], [r.asDict() for r in kept.collect()])
+        docs = kept
+    return found
+
+
+def by_id(rows):
+    return {r["doc_id"]: r for r in rows}
+
+
+def test_toxicity_keeps_what_scores_below_the_limit(spark, tables):
+    given, kept = tables["toxicity"]
+    scores = {r["doc_id"]: r["score"] for r in queries.op6_toxicity(spark, SMALL).collect()}
+    assert by_id(kept) == {i: r for i, r in by_id(given).items() if scores[i] < queries.TOXIC_LEAST}
+    assert toxicity.best_segment(np.array([])) == 0
+
+
+def test_lines_that_stay_are_apart(tables):
+    given, kept = tables["line_dedup"]
+    assert by_id(given).keys() == by_id(kept).keys()
+    table, seen = line_dedup.plain_bytes(), Counter()
+    before = {}
+    for row in given:
+        for words in line_dedup.plain_lines(row["text"], table):
+            before[b" ".join(words)] = before.get(b" ".join(words), 0) + 1
+    for row in kept:
+        assert row["n_chars"] == len(row["text"])
+        left = Counter(line for line in row["text"].split("\n") if line)
+        assert not left - Counter(by_id(given)[row["doc_id"]]["text"].split("\n"))
+        seen.update(b" ".join(w) for w in line_dedup.plain_lines(row["text"], table) if w)
+    assert max(seen.values()) == 1
+    gone = [line.decode() for line in before if line and line not in seen]
+    left = [line.decode() for line in seen]
+    for line in gone:
+        assert any(
+            line_dedup.edit_distance(line, other) <= 0.2 * max(len(line), len(other)) + 1e-9
+            for other in itertools.chain(left, (g for g in gone if g != line))
+        )
+
+
+def test_one_document_of_each_group_stays(tables):
+    given, kept = tables["simhash_dedup"]
+    lanes = lane_table()
+    prints = {r["doc_id"]: simhash.fingerprint(r["text"], 4, lanes) % (1 << 64) for r in given}
+    parent = {i: i for i in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(prints), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 4:
+            one, two = find(a), find(b)
+            parent[max(one, two)] = min(one, two)
+    assert by_id(kept) == {i: r for i, r in by_id(given).items() if find(i) == i}
+
+
+def test_the_mix_meets_its_targets(tables):
+    given, kept = tables["mixing"]
+    words = lambda rows: sum(len(r["text"].split()) for r in rows)
+    assert abs(words(kept) - 1.5 * words(given)) <= len({r["source"] for r in given})
+    texts = by_id(given)
+    for row in kept:
+        whole = texts[row["doc_id"]]
+        assert row["text"] == whole["text"] or set(row["text"].split()) <= set(whole["text"].split())
+        assert (row["source"], row["lang"], row["n_chars"]) == (whole["source"], whole["lang"], len(row["text"]))
+    assert max(Counter(r["doc_id"] for r in kept).values()) <= 2
+
+
+def test_packed_ids_are_those_of_the_texts(tables):
+    from tokenizers import Tokenizer
+
+    given, pieces = tables["packing"]
+    plain = Tokenizer.from_file(queries.word_tokenizer())
+    expected = Counter()
+    for row in given:
+        ids = np.array([*plain.encode(row["text"], add_special_tokens=False).ids, 1], dtype="<u4")
+        expected.update((row["doc_id"], ids[at : at + 4096].tobytes()) for at in range(0, len(ids), 4096))
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in pieces) == expected
+    spans = {}
+    for r in pieces:
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["offset"] + r["length"]))
+    for own in map(sorted, spans.values()):
+        assert own[0][0] == 0 and own[-1][1] <= 4096
+        assert all(a[1] == b[0] for a, b in itertools.pairwise(own))
+    assert len(spans) <= -(-sum(r["length"] for r in pieces) // 4096) + 1

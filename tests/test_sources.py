@@ -107,7 +107,7 @@ def test_retail_is_typed(spark, tmp_path):
         ("quantity", "int"),
         ("invoice_date", "timestamp_ntz"),
         ("unit_price", "double"),
-        ("customer_id", "int"),
+        ("customer_id", "bigint"),
         ("country", "string"),
         ("total_price", "double"),
         ("year", "string"),

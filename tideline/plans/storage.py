@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/tideline-{uuid.uuid4().hex}"
-    master = spark.conf.get("spark.master", "")
+    master = spark.conf.get("spark.master", "local")
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="tideline-")

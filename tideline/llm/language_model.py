@@ -18,6 +18,7 @@ bounded table; those of other words are joined.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -88,11 +89,8 @@ class Coder:
 
     def _clear(self) -> None:
         self.code.clear()
-        self.input: list[int] = []
-        self.base: list[float] = []
-        self.own: list[float] = []
-        self.known: list[int] = []
-        self.hash: list[int] = []
+        self.input, self.hash, self.known = array("q"), array("q"), array("b")
+        self.base, self.own = array("d"), array("d")
 
     def _add(self, word: bytes) -> int:
         model, key = self.model, hashed(word)

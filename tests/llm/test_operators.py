@@ -24,6 +24,7 @@ from tideline.llm import (
 )
 from tideline.llm.components import connected_components
 from tideline.llm.licence_texts import LICENCES
+from tideline.llm.texts import lane_table
 
 SMALL = "/root/testdata/sf0.001"
 MIDDLE = "/root/testdata/sf0.01"
@@ -87,7 +88,7 @@ def test_every_pair_of_four_bits_shares_a_key():
 
 
 def test_fingerprint_is_the_majority_of_shingle_hashes():
-    lanes = simhash.lane_table()
+    lanes = lane_table()
     text = "The  Cat sat on\tthe mat, the cat sat on the mat. Ünï " * 90
     words = text.encode().lower().split()
     counts = [0] * 64
@@ -306,6 +307,46 @@ def test_line_groups_equal_brute_force(spark):
         assert found[i]["text"] == kept
 
 
+def removed(spark, lines):
+    """The numbers of the lines that are taken out, each line being a document."""
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return {r["doc_id"] for r in line_dedup.dedup_lines(docs).where("size(removed_lines) > 0").collect()}
+
+
+def test_short_lines_equal_brute_force(spark):
+    draw = random.Random(11)
+    vocabulary = ["".join(draw.choices("abcdefghijklmnopé", k=draw.randrange(2, 11))) for _ in range(400)]
+    lines = []
+    for _ in range(150):
+        line = " ".join(draw.choices(vocabulary, k=draw.randrange(1, 8)))[: line_dedup.SHORT].strip()
+        lines.append(line)
+        letters = list(line)
+        for _ in range(draw.randrange(1, len(line) // 4 + 2)):
+            at = draw.randrange(len(letters) + 1)
+            letters[at : at + draw.randrange(2)] = draw.choice(["", "x", "y"])
+        lines.append("".join(letters).strip() or "z")
+    plain = [" ".join(line.split()) for line in lines]
+    pairs = itertools.combinations(range(len(lines)), 2)
+    links = [(a, b) for a, b in pairs if edit_similarity(plain[a], plain[b]) >= 0.8 - 1e-9]
+    gone = {n for n, r in roots(range(len(lines)), links).items() if n != r}
+    assert gone and removed(spark, lines) == gone
+
+
+def test_long_lines_that_meet_are_compared_whatever_their_bits(spark):
+    draw = random.Random(12)
+    table, lanes = line_dedup.plain_bytes(), lane_table()
+    while True:
+        words = ["".join(draw.choices("abcdefghijklmnop", k=k)) for k in [8] * 7 + [2] * 6]
+        changed = words[:8] + ["".join(draw.choices("qrstuvw", k=2)) for _ in range(5)]
+        one, two = " ".join(words), " ".join(changed)
+        prints = [line_dedup.LineTable([x], table).prints(lanes)[0] for x in (one, two)]
+        differ = int(prints[0] ^ prints[1]) & (2**64 - 1)
+        meet = any(not differ >> 8 * block & 255 for block in range(8))
+        if meet and differ.bit_count() > 16 and min(len(one), len(two)) > 64 and edit_similarity(one, two) >= 0.8:
+            break
+    assert removed(spark, [one, two]) == {1}
+
+
 def test_neighbours_reach_the_recall(spark):
     vectors = queries.table(spark, MIDDLE, "embeddings")
     rows = vectors.collect()

@@ -465,3 +465,18 @@ def test_language_model_scores(spark):
     held = [r for r in found if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert language_model.held_out is not None
+
+
+def test_the_network_learns_from_every_training_document(spark, monkeypatch):
+    class Enough(Exception):
+        pass
+
+    def counted(frame, path):
+        raise Enough(frame.count())
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    model = language_model.LanguageModel(None, {}, {}, {}, np.zeros(0), np.zeros(0), 10**9, 0)
+    monkeypatch.setattr(language_model, "written", counted)
+    with pytest.raises(Enough) as found:
+        language_model._trained(model, docs, "doc_id", "text", "unused")
+    assert found.value.args == (400,)

@@ -7,9 +7,8 @@ others belong to one of TAIL_CLASSES classes by their first two bytes, and a tai
 of its class is its smoothed count. So every word, unseen ones included, has a probability and
 the classes' sums are 1.
 
-The network is trained on whole training documents picked by a hash of the id: one in
-TRAIN_PART, more in a small corpus, to reach TRAIN_TOKENS. Shards of these train side by side by
-truncated backpropagation, and their weights are averaged after each of ROUNDS rounds.
+The network is trained on every training document. Shards of these, dealt by a hash of the id, train
+side by side by truncated backpropagation, and their weights are averaged after each of ROUNDS rounds.
 Scoring carries the state through each whole document.
 
 A word is known by its 64-bit hash. Counts of the most frequent HELD words are sent to the tasks, a
@@ -38,8 +37,6 @@ WORDS = 8_192
 CLASSES = 64
 TAIL_CLASSES = 32
 HELD = 65_536
-TRAIN_PART = 16
-TRAIN_TOKENS = 1_500_000
 SHARD_TOKENS = 500_000
 ROUNDS = 4
 FOLDS, HELD_OUT = 5, 1
@@ -207,10 +204,8 @@ def fit_language_model(
 
 
 def _trained(model: LanguageModel, training: DataFrame, id_col: str, text_col: str, path: str) -> LanguageModel:
-    share = min(1.0, max(1.0 / TRAIN_PART, TRAIN_TOKENS / model.tokens))
-    shards = max(1, round(model.tokens * share / SHARD_TOKENS))
-    draw = F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(1 << 20))
-    picked = training.where(draw < int(share * (1 << 20))).select(
+    shards = max(1, round(model.tokens / SHARD_TOKENS))
+    picked = training.select(
         F.pmod(F.xxhash64(F.lit("shard"), id_col), F.lit(shards)).cast("int").alias("shard"),
         F.pmod(F.xxhash64(F.lit("round"), id_col), F.lit(ROUNDS)).cast("int").alias("round"),
         F.xxhash64(F.lit("order"), id_col, text_col).alias("place"),

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -258,6 +259,25 @@ def test_licences_in_other_spellings(spark):
     assert found[1]["digest"] == found[2]["digest"] and found[4]["digest"] is None
 
 
+def test_wrapped_one_line_and_titled_licences(spark):
+    titles = {
+        "MIT": "The MIT License (MIT)",
+        "ISC": "ISC License",
+        "BSD-2-Clause": "BSD 2-Clause License",
+        "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License',
+        "Zlib": "zlib License",
+    }
+    rows = []
+    for name, text in LICENCES:
+        copies = [" ".join(text.split()), *["\n".join(textwrap.wrap(text, width, break_long_words=False)) for width in range(14, 100)]]
+        copies += [f"{titles[name]}\n\nCopyright (c) 2021, Some One\nAll rights reserved.\n\n{c}" for c in copies]
+        copies += [f"{start}\n{text}" for start in ("Copyright 2020 A", "Copyright by A", "© A", "Copyright A Inc. 2019")]
+        rows += [(name, copy) for copy in copies]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = licences.scan_licences(docs, licences.known_licences(spark))
+    assert found.where("licence is null or licence != doc_id").count() == 0 and found.count() == len(rows)
+
+
 def edit_similarity(one, two):
     row = list(range(len(two) + 1))
     for i, a in enumerate(one, 1):

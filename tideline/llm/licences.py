@@ -1,6 +1,6 @@
 """Operator 5: licence scans by canonical digests.
 
-A text is normalised (lower case, copyright lines left out, everything but letters and digits
+A text is normalised (lower case, copyright and title lines left out, everything but letters and digits
 as one space, equivalent spellings made one) and its digest joined to those of known licences.
 The whole text is looked up, and every line of it as a text of its own, since documents carry
 one-line notices.
@@ -13,13 +13,25 @@ from pyspark.sql import functions as F
 
 from tideline.llm.licence_texts import LICENCES, NOTICES, SPELLINGS
 
-#: Lines of this form name a holder and a year and differ from copy to copy.
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}]*(copyright|\(c\)|©).*|^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
+#: Lines of this form name a holder and a year and differ from copy to copy. A body line that a wrap
+#: starts with "copyright holder", "copyright notice" or "(c) You must" is none of them.
+COPYRIGHT_LINE = (
+    r"^[^\p{L}\p{N}]*(copyright[^\p{L}\p{N}]*(\(c\)|©|<year>|\[?yyyy|(19|20)\d\d|by )"
+    r"|copyright (?!treaty).*\b(19|20)\d\d\b|\(c\)[^\p{L}\p{N}]*(copyright|(19|20)\d\d)|©).*"
+    r"|^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
+)
+#: Lines that are a title of one of the short licences, which copies have or lack.
+TITLE_LINE = (
+    r"^[^\p{L}\p{N}]*(the )?(mit|expat|isc|zlib|zlib/libpng|(new |modified |simplified )?bsd"
+    r"|bsd[- ][23][- ]clause)([^\p{L}\p{N}]*(new|revised|simplified|or))*[^\p{L}\p{N}]*licen[cs]e"
+    r"([^\p{L}\p{N}]*(mit|isc|zlib|bsd[- ][23][- ]clause))?[^\p{L}\p{N}]*$"
+)
 
 
 def canonical(text: Column) -> Column:
     """The normalised form; null for null."""
-    lines = F.filter(F.split(F.lower(text), "\n"), lambda line: ~F.rlike(line, F.lit(COPYRIGHT_LINE)))
+    left_out = F.lit(f"{COPYRIGHT_LINE}|{TITLE_LINE}")
+    lines = F.filter(F.split(F.lower(text), "\n"), lambda line: ~F.rlike(line, left_out))
     plain = F.concat(F.lit(" "), F.regexp_replace(F.array_join(lines, " "), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for found, one in SPELLINGS:
         plain = F.replace(plain, F.lit(f" {found} "), F.lit(f" {one} "))

@@ -24,7 +24,7 @@ from tideline.llm import (
     toxicity,
 )
 from tideline.llm.components import connected_components
-from tideline.llm.licence_texts import LICENCES
+from tideline.llm.licence_texts import LICENCES, more_licences
 from tideline.llm.texts import lane_table
 
 SMALL = "/root/testdata/sf0.001"
@@ -278,6 +278,25 @@ def test_wrapped_one_line_and_titled_licences(spark):
     assert found.where("licence is null or licence != doc_id").count() == 0 and found.count() == len(rows)
 
 
+def test_longer_licences_and_other_notices(spark):
+    lines = {
+        'Licensed under the Apache License, Version 2.0 (the "License");': "Apache-2.0",
+        "# SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1-or-later",
+        "// SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "This program is licensed under the GNU GPL v2, or (at your option) any later version.": "GPL-2.0-or-later",
+        "Licensed under the GNU Affero General Public Licence, version 3": "AGPL-3.0-only",
+        "Released under CC BY-SA 3.0": "CC-BY-SA-3.0",
+        "This file is released under the MPL 2.0.": "MPL-2.0",
+    }
+    texts = {name: text.replace("\n", "\n ") for name, text in more_licences()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(texts)
+    docs = spark.createDataFrame([(text, text) for text in [*lines, *texts.values()]], "doc_id string, text string")
+    known = licences.known_licences(spark, licences.all_licences())
+    found = {r["doc_id"]: r for r in licences.scan_licences(docs, known).collect()}
+    assert {line: found[line]["notices"] for line in lines} == {line: [name] for line, name in lines.items()}
+    assert {name: found[text]["licence"] for name, text in texts.items()} == {name: name for name in texts}
+
+
 def edit_similarity(one, two):
     row = list(range(len(two) + 1))
     for i, a in enumerate(one, 1):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
 PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS
@@ -114,3 +116,103 @@ SPELLINGS = (
     ("copyright owners", "copyright holders"),
     ("merchantibility", "merchantability"),
 )
+
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any
+and all copyright interest in the software to the public domain. We make this dedication for the
+benefit of the public at large and to the detriment of our heirs and successors. We intend this
+dedication to be an overt act of relinquishment in perpetuity of all present and future rights to
+this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN
+NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
+
+#: Last line of a licence that an appendix on its use may follow.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+#: Identifier, with what names the licence in a sentence.
+NAMES = (
+    ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License")),
+    ("MIT", ("MIT License",)),
+    ("ISC", ("ISC License",)),
+    ("Zlib", ("zlib License",)),
+    ("Unlicense", ("Unlicense",)),
+    ("BSL-1.0", ("Boost Software License, Version 1.0", "Boost Software License 1.0")),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License")),
+    ("MPL-1.1", ("Mozilla Public License, Version 1.1", "Mozilla Public License 1.1", "MPL 1.1")),
+    ("MPL-2.0", ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL, v. 2.0")),
+    ("CC0-1.0", ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal License")),
+)
+GNU = (
+    ("GPL", ("GNU General Public License", "GNU GPL", "GPL"), ("1.0", "2.0", "3.0")),
+    ("LGPL", ("GNU Lesser General Public License", "GNU LGPL", "LGPL"), ("2.1", "3.0")),
+    ("AGPL", ("GNU Affero General Public License", "GNU AGPL", "AGPL"), ("3.0",)),
+    ("GFDL", ("GNU Free Documentation License", "GNU FDL", "GFDL"), ("1.1", "1.2", "1.3")),
+)
+CREATIVE = (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+LATER = ("or later", "or any later version", "or (at your option) any later version")
+#: How a normalised sentence that names a licence may start; all count as "licensed under ".
+OPENING = (
+    r"^((this|the) (work|file|software|project|program|library|code|source code|document|text|dataset|content) is )?"
+    r"(licensed|released|distributed|published|available|made available) under (the )?(terms of (the )?)?"
+)
+
+
+def _names() -> list[tuple[str, str]]:
+    found = [(key, name) for key, names in NAMES for name in names]
+    for family, names, versions in GNU:
+        for version in versions:
+            short = {version, version.removesuffix(".0")}
+            for name in names:
+                for v in sorted(short):
+                    forms = [f"{name}, version {v}", f"{name} version {v}", f"{name} v{v}", f"{name} {v}"]
+                    found += [(f"{family}-{version}-only", form) for form in [*forms, f"{forms[1]} only"]]
+                    found += [(f"{family}-{version}-or-later", f"{form}, {later}") for form in forms for later in LATER]
+    for part, words in CREATIVE:
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            place = ["", " International"] if version == "4.0" else ["", " Unported"] if version == "3.0" else [""]
+            names = [f"CC {part} {version}", f"CC-{part}-{version}", f"Creative Commons {words} {version}"]
+            found += [(f"CC-{part}-{version}", f"{name}{end}{more}") for name in names for end in place for more in ("", " License")]
+    return found
+
+
+def more_notices() -> list[tuple[str, str]]:
+    """(identifier, notice): SPDX lines, sentences that name a licence, first lines of usual headers."""
+    names = _names()
+    keys = sorted({key for key, _ in names} | {"0BSD"})
+    found = [(key, f"SPDX-License-Identifier: {key}") for key in keys]
+    # The former identifiers, without "-only". One that ends in "+" normalises to the same and counts as this.
+    found += [(key, f"SPDX-License-Identifier: {key.removesuffix('-only')}") for key in keys if key.endswith("-only")]
+    found += [(key, f"Licensed under {name}") for key, name in names]
+    header = 'Licensed under the Apache License, Version 2.0 (the "License")'
+    whole = f"{header}; you may not use this file except in compliance with the License."
+    found += [("Apache-2.0", text) for text in (header, whole, f"{header}; you may not use this file")]
+    return found
+
+
+def more_licences() -> list[tuple[str, str]]:
+    """(identifier, text): the files beside this module, also without what follows TERMS_END, and the Unlicense."""
+    found = [("Unlicense", UNLICENSE)]
+    for file in sorted((Path(__file__).parent / "licence_files").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        found.append((file.stem, text))
+        if TERMS_END in text:
+            terms = text[: text.index(TERMS_END)]
+            found += [(file.stem, terms), (file.stem, terms + TERMS_END)]
+    return found

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.licence_texts import LICENCES, NOTICES, SPELLINGS
+from tideline.llm.licence_texts import LICENCES, NOTICES, OPENING, SPELLINGS, more_licences, more_notices
 
 #: Lines of this form name a holder and a year and differ from copy to copy. A body line that a wrap
 #: starts with "copyright holder", "copyright notice" or "(c) You must" is none of them.
@@ -38,10 +38,20 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, " +", " "))
 
 
+def _key(plain: Column) -> Column:
+    """The digest by which a normalised text or line is looked up: openings of notices are made one."""
+    return F.md5(F.regexp_replace(plain, OPENING, "licensed under ").cast("binary"))
+
+
+def all_licences() -> tuple[tuple[str, str], ...]:
+    """(identifier, text) of every licence and notice that the package knows."""
+    return (*LICENCES, *NOTICES, *more_licences(), *more_notices())
+
+
 def known_licences(spark: SparkSession, texts: tuple[tuple[str, str], ...] = LICENCES + NOTICES) -> DataFrame:
     """(digest, licence): one row per distinct normalised text, the smallest name for equal ones."""
     rows = spark.createDataFrame(list(texts), "licence string, text string")
-    digests = rows.select(F.md5(canonical(F.col("text")).cast("binary")).alias("digest"), "licence")
+    digests = rows.select(_key(canonical(F.col("text"))).alias("digest"), "licence")
     return digests.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
@@ -60,12 +70,13 @@ def scan_licences(
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
-        F.md5(canonical(text).cast("binary")).alias("whole"),
+        canonical(text).alias("plain"),
         text.alias("text"),
     )
+    rows = rows.select("row", "id", "text", F.md5(F.col("plain").cast("binary")).alias("whole"), _key(F.col("plain")).alias("key"))
     lines = F.split("text", "\n")
-    rows = rows.select("row", "id", "whole", F.posexplode_outer(F.concat(F.array("text"), lines)).alias("at", "part"))
-    digest = F.when(F.col("at") == 0, F.col("whole")).otherwise(F.md5(canonical(F.col("part")).cast("binary")))
+    rows = rows.select("row", "id", "whole", "key", F.posexplode_outer(F.concat(F.array("text"), lines)).alias("at", "part"))
+    digest = F.when(F.col("at") == 0, F.col("key")).otherwise(_key(canonical(F.col("part"))))
     nothing = F.md5(F.lit("").cast("binary"))
     parts = rows.select("row", "id", "whole", "at", F.when(digest != nothing, digest).alias("digest"))
     found = parts.join(known, "digest", "left")

@@ -51,7 +51,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licences.scan_licences(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+    found = licences.scan_licences(table(spark, sf_dir, "documents"), licences.known_licences(spark, licences.all_licences()))
     return found.withColumn("notices", F.array_join("notices", ","))
 
 

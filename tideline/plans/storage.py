@@ -31,6 +31,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+class Scratch:
+    """The intermediate tables of one call, by name, in a shared folder of their own.
+
+    The call owns them and drops each one when the tables made from it are written, so a
+    long job holds few at a time. A written table has no lineage: what it was made of is
+    never read again, also not when executors are lost. Tables that the returned frame
+    still reads are left, like everything under ``spark.checkpoint.dir``, to the session's
+    owner.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_folder(spark)
+
+    def write(self, frame: DataFrame, name: str) -> DataFrame:
+        """The frame as the table ``name``, which must be new."""
+        return written(frame, f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Removes tables that nothing will read any more."""
+        for name in names:
+            remove(self.spark, f"{self.folder}/{name}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(frame: DataFrame, path: str) -> DataFrame:
     """The frame as a Parquet table at ``path``: its lineage starts anew there."""
     frame.write.parquet(path)

@@ -1,0 +1,106 @@
+"""Spelling variants against brute force."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tideline.llm import queries, spelling
+
+SCHEMA = "doc_id long, text string"
+
+
+def counted(rows, typo_every=97, letters=5, least=3):
+    found = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if typo_every and h % typo_every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            found[run] += 1
+    return {w: n for w, n in found.items() if len(w) >= letters and n >= least}
+
+
+def one_error(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    if abs(len(a) - len(b)) != 1:
+        return False
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def brute(rows, **limits):
+    n = counted(rows, **limits)
+    near = {w: [v for v in n if v != w and one_error(w, v)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return {(w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n}
+
+
+def texts(seed, words, alphabet="abé"):
+    draw = random.Random(seed)
+    vocabulary = ["".join(draw.choice(alphabet) for _ in range(draw.randrange(4, 9))) for _ in range(words)]
+    rows = []
+    for i in range(60):
+        picked = draw.choices(vocabulary, [1 / (k + 1) for k in range(words)], k=draw.randrange(0, 80))
+        rows.append((i, " ".join(w.upper() if draw.random() < 0.1 else w for w in picked)))
+    return rows
+
+
+def result(spark, rows, **more):
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("word", "n", "id", "slice", "i")})
+    found = spelling.spelling_variants(docs, **more).collect()
+    assert len({r["word"] for r in found}) == len(found)
+    return {tuple(r) for r in found}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_brute_force(spark, seed):
+    rows = texts(seed, 160)
+    assert len(brute(rows)) > 40
+    assert result(spark, rows) == brute(rows)
+
+
+def test_a_half_that_many_words_share_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "MOST_WORDS", 8)
+    rows = texts(3, 200, "ab")
+    assert result(spark, rows) == brute(rows)
+    monkeypatch.setattr(spelling, "SLICE_WORDS", 4)
+    assert result(spark, rows) == brute(rows)
+
+
+def test_every_length_and_letter(spark):
+    words = ["abcde", "abcdef", "xabcde", "abde" + "e", "abxde", "a" * 70, "a" * 71, "a" * 69 + "b", "×÷ÿab", "×÷ÿac"]
+    text = " ".join(w for k, w in enumerate(words) for _ in range(3 + 3 * k))
+    assert result(spark, [(1, text)], typo_every=None) == brute([(1, text)], typo_every=None)
+    assert result(spark, [(1, "ab ab ab b b b b b b a")], least_letters=1, typo_every=None) == brute(
+        [(1, "ab ab ab b b b b b b a")], letters=1, typo_every=None
+    )
+
+
+def test_odd_rows(spark):
+    text = "naïveté Naïveté NAïVETÉ straße straße straße2straße word4word the"
+    rows = [(1, text), (1, text), (None, text), (2, None), (3, ""), (4, "long " * 3 + "longer " * 30_000), (5, "12 !")]
+    assert result(spark, rows) == brute(rows)
+    assert result(spark, []) == set()
+
+
+def test_query_equals_brute_force(spark):
+    found = queries.op13_spelling_variants(spark, "/root/testdata/sf0.001")
+    assert dict(found.dtypes) == {
+        "word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = brute([tuple(r) for r in docs])
+    assert {tuple(r) for r in found.collect()} == rows

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import embedding_dedup, language_model, licences, line_dedup, mixing, neighbours, packing, sharding, simhash, toxicity
+from tideline.llm import (
+    embedding_dedup,
+    language_model,
+    licences,
+    line_dedup,
+    mixing,
+    neighbours,
+    packing,
+    sharding,
+    simhash,
+    spelling,
+    toxicity,
+)
 from tideline.llm.texts import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +110,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % QUERY_STEP == 0))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -109,4 +125,5 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_language_model": op8_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op13_spelling_variants": op13_spelling_variants,
 }

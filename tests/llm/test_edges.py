@@ -111,13 +111,13 @@ def test_the_pipeline_runs(spark):
 
 def test_registry_has_every_operator():
     names = contract.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(LLM_ORACLE))
 def test_query_equals_sql(spark, name):
     harness_tables = harness.TABLES
-    harness.TABLES = (*harness_tables, "documents")
+    harness.TABLES = (*harness_tables, "documents", "embeddings")
     try:
         connection = harness.duck("/root/testdata/sf0.001")
     finally:

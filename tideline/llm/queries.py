@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import (
     embedding_dedup,
+    hard_negatives,
     language_model,
     licences,
     line_dedup,
@@ -110,6 +111,15 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % QUERY_STEP == 0))
 
 
+ANCHOR_STEP, RELABEL_STEP, LABELS = 100, 7, 10
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    other = F.when(F.col("vec_id") % RELABEL_STEP == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", other), F.col("vec_id") % ANCHOR_STEP == 0)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -125,5 +135,6 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_language_model": op8_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_spelling_variants": op13_spelling_variants,
 }

@@ -16,6 +16,7 @@ from tideline.llm import (
     mixing,
     neighbours,
     packing,
+    repeats,
     sharding,
     simhash,
     spelling,
@@ -120,6 +121,18 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_hard_negatives(vectors.withColumn("label", other), F.col("vec_id") % ANCHOR_STEP == 0)
 
 
+def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        n_removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -136,5 +149,6 @@ LLM_QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_suffix_array": op12_suffix_array,
     "op13_spelling_variants": op13_spelling_variants,
 }

@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.dates import month_of, months_between_starts
 from tideline.functions.ratios import percent
 
 
 def _active_customers(
     transactions: DataFrame, customer: str, ts: str, last_month: int | None = None
 ) -> DataFrame:
-    """Active customers per cohort and month number, from distinct months.
+    """Active customers per cohort and month number, from one set of months per customer.
 
-    One customer brings at most one row per calendar month into the window.
+    Tasks combine the purchases of a customer into a set of month numbers, at most twelve a
+    year however many lines the customer has; these sets are the only facts that are shuffled.
     """
-    months = (
-        transactions.select(F.col(customer).alias("customer_id"), month_of(ts).alias("active_month"))
-        .filter(F.col("customer_id").isNotNull() & F.col("active_month").isNotNull())
-        .distinct()
-    )
-    by_customer = Window.partitionBy("customer_id")
-    numbered = months.select(
-        F.min("active_month").over(by_customer).alias("cohort_month"), "active_month"
-    ).select(
-        "cohort_month", months_between_starts("cohort_month", "active_month").alias("month_number")
+    day = F.to_date(ts)
+    months = transactions.select(
+        F.col(customer).alias("customer_id"), (F.year(day) * 12 + F.month(day) - 1).alias("active")
+    ).filter(F.col("customer_id").isNotNull() & F.col("active").isNotNull())
+    sets = months.groupBy("customer_id").agg(F.collect_set("active").alias("months"))
+    numbered = sets.select(F.array_min("months").alias("first"), F.explode("months").alias("active")).select(
+        "first", (F.col("active") - F.col("first")).cast("bigint").alias("month_number")
     )
     if last_month is not None:
         numbered = numbered.filter(F.col("month_number") <= last_month)
-    return numbered.groupBy("cohort_month", "month_number").agg(
-        F.count("*").alias("active_customers")
-    )
+    counted = numbered.groupBy("first", "month_number").agg(F.count("*").alias("active_customers"))
+    cohort = F.make_date(F.floor(F.col("first") / 12).cast("int"), F.pmod("first", F.lit(12)) + 1, F.lit(1))
+    return counted.select(cohort.alias("cohort_month"), "month_number", "active_customers")
 
 
 def _with_retention(cells: DataFrame) -> DataFrame:

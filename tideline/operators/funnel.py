@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.dates import day_of, month_of
@@ -24,30 +24,30 @@ def _customer_flags(
 ) -> DataFrame:
     """Per customer: first day, bought again within ``days``, bought again later.
 
-    Purchases are reduced to distinct (customer, day) pairs first, map-side before
-    the shuffle, which bounds what one customer brings into the window by the
-    calendar, however many lines the customer has. The next distinct day is at most
-    ``days`` after the first exactly when some distinct day is, so no lead or
-    self-join is needed, and the closing aggregation reuses the window's
-    partitioning.
+    Tasks combine the purchases of a customer into a set of days, which the calendar
+    bounds however many lines the customer has, and only these sets are shuffled, once.
+    The next distinct day is at most ``days`` after the first exactly when some distinct
+    day is, so the set is looked through, not sorted.
     """
-    purchase_days = (
+    sets = (
         transactions.filter(F.col(customer).isNotNull())
-        .select(F.col(customer).alias("customer_id"), day_of(ts).alias("purchase_day"))
-        .distinct()
+        .groupBy(F.col(customer).alias("customer_id"))
+        .agg(F.collect_set(day_of(ts)).alias("days"))
     )
-    by_customer = Window.partitionBy("customer_id")
-    first, day = F.col("first_purchase_day"), F.col("purchase_day")
-    gap = F.date_diff(day, first)
-    soon = (gap > 0) & (gap <= days)
-    later = (gap > days) & (day <= F.add_months(first, months))
-    return (
-        purchase_days.withColumn("first_purchase_day", F.min("purchase_day").over(by_customer))
-        .groupBy("customer_id", "first_purchase_day")
-        .agg(
-            F.max(F.when(soon, 1).otherwise(0)).alias("activated"),
-            F.max(F.when(later, 1).otherwise(0)).alias("returned"),
-        )
+    first = F.col("first_purchase_day")
+    limit = F.add_months(first, months)
+
+    def soon(day: Column) -> Column:
+        return (day > first) & (day <= F.date_add(first, days))
+
+    def later(day: Column) -> Column:
+        return (day > F.date_add(first, days)) & (day <= limit)
+
+    return sets.withColumn("first_purchase_day", F.array_min("days")).select(
+        "customer_id",
+        "first_purchase_day",
+        F.when(F.exists("days", soon), 1).otherwise(0).alias("activated"),
+        F.when(F.exists("days", later), 1).otherwise(0).alias("returned"),
     )
 
 

@@ -11,7 +11,7 @@ from tideline.operators import cleaning, metrics
 from tideline.plans import mappings
 from tideline.plans.queries import QUERIES
 from tideline.plans.storage import shared_folder
-from tideline.sources import curate_retail, read_raw, write_raw
+from tideline.sources import curate_retail, own_database, read_curated, read_raw, write_curated, write_raw
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -111,12 +111,47 @@ def test_a_cluster_needs_a_shared_folder():
     assert shared_folder(Session(spark__master="local[4]"))
 
 
-def test_one_month_opens_one_partition(spark):
-    plan = final_plan(QUERIES["retail_of_one_month"](spark, SMALL))
+def test_one_month_opens_one_partition(spark, tmp_path):
+    write_curated(QUERIES["curate_retail"](spark, SMALL), str(tmp_path / "retail"))
+    lines = read_curated(spark, str(tmp_path / "retail"), "online_retail")
+    plan = final_plan(lines.filter("year = '1997' AND month = '3'").groupBy("country").count())
     filters = plan[plan.index("PartitionFilters") :].splitlines()[0]
     assert "year" in filters and "month" in filters
 
 
+def test_decimal_prices_reach_the_reader(spark, tmp_path):
+    source = mappings.retail_source(spark, SMALL).withColumn("Price", F.col("Price").cast("decimal(10,2)"))
+    source.write.parquet(str(tmp_path / "flat"))
+    flat = spark.read.parquet(str(tmp_path / "flat"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = executed(cleaning.clean_retail(flat))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :].splitlines()[0]
+    assert "GreaterThan(Price,0.00)" in pushed and "GreaterThan(Quantity,0)" in pushed
+    doubles = cleaning.clean_retail(source.withColumn("Price", F.col("Price").cast("double")))
+    decimals = cleaning.clean_retail(flat)
+    assert decimals.dtypes == doubles.dtypes
+    assert sorted(decimals.collect(), key=repr) == sorted(doubles.collect(), key=repr)
+    assert cleaning.clean_retail_stats(flat).collect() == cleaning.clean_retail_stats(source).collect()
+
+
+def test_calls_leave_nothing_in_the_catalog(spark):
+    before = {d.name for d in spark.catalog.listDatabases()}
+    frames = [QUERIES["catalog_partitions"](spark, SMALL) for _ in range(2)]
+    assert {d.name for d in spark.catalog.listDatabases()} == before
+    one, two = (sorted(map(tuple, f.collect())) for f in frames)
+    assert one == two and one
+
+
+def test_a_database_goes_when_its_block_fails(spark):
+    with pytest.raises(RuntimeError), own_database(spark, "short_lived"):
+        spark.sql("CREATE VIEW short_lived.v AS SELECT 1 AS one")
+        raise RuntimeError
+    assert not spark.catalog.databaseExists("short_lived")
+
+
 def test_metrics_take_other_names(spark, events):
     paid = events(("u", "first_transaction", "2024-01-05", 2.5), ("u", "signup", "2024-01-04"))
     other = paid.toDF("who", "what", "at", "worth", "bad", "checked", "via")

@@ -47,8 +47,8 @@ def _with_numbers(source: DataFrame) -> DataFrame:
     """Normalized lines with numeric columns, NULL (a price or quantity also NaN) where missing.
 
     Blank text and NaN are the marks of a missing number; other text that is no
-    number raises. Columns that are numbers already stay as they are, NaN with them, so
-    conditions on them reach the reader; text becomes a double. A customer number given as text or as a fraction becomes a whole
+    number raises. Columns that are numbers already stay as they are, decimals among them and NaN with
+    them, so conditions on them reach the reader; text becomes a double. A customer number given as text or as a fraction becomes a whole
     number of 64 bits by way of a decimal, which keeps all its digits.
     """
     lines = normalize_retail_columns(source)
@@ -62,7 +62,7 @@ def _with_numbers(source: DataFrame) -> DataFrame:
             return _whole(column.cast("decimal(38,6)")) if name == "CustomerID" else column.cast("double")
         if name == "CustomerID" and types[name] in ("float", "double"):
             return _whole(F.when(~F.isnan(column), column).cast("decimal(38,6)"))
-        return column if types[name] == "double" else column.cast("double")
+        return column if types[name] in _FRACTIONS or types[name].startswith("decimal") else column.cast("double")
 
     wanted = ("Quantity", "UnitPrice", "CustomerID")
     changed = {name: number(name) for name in wanted if types[name] not in _WHOLE_TYPES}
@@ -70,11 +70,12 @@ def _with_numbers(source: DataFrame) -> DataFrame:
 
 
 _WHOLE_TYPES = ("tinyint", "smallint", "int", "bigint")
+_FRACTIONS = ("float", "double")
 
 
 def _not_nan(lines: DataFrame, name: str) -> Column:
     column = F.col(name)
-    return column if dict(lines.dtypes)[name] in _WHOLE_TYPES else F.when(~F.isnan(column), column)
+    return F.when(~F.isnan(column), column) if dict(lines.dtypes)[name] in _FRACTIONS else column
 
 
 def _whole(value: Column) -> Column:
@@ -98,17 +99,22 @@ def _first_failed_rule() -> Column:
     )
 
 
-def _kept() -> Column:
+def _kept(lines: DataFrame) -> Column:
     """True for a line that breaks no rule, as conjuncts that a reader or a join can take one by one.
 
-    NaN is larger than any number, so a NaN price or quantity stays, as a missing one does.
+    Bounds have the column's own type, as a cast column does not reach the reader. NaN is
+    larger than any number, so a NaN price or quantity stays, as a missing one does.
     """
-    quantity, price = F.col("Quantity"), F.col("UnitPrice")
+    types = dict(lines.dtypes)
+
+    def positive(name: str) -> Column:
+        return F.col(name).isNull() | (F.col(name) > F.lit(0).cast(types[name]))
+
     return (
         F.col("CustomerID").isNotNull()
         & (F.col("InvoiceNo").isNull() | _not_cancelled())
-        & (quantity.isNull() | (quantity > 0))
-        & (price.isNull() | (price > 0))
+        & positive("Quantity")
+        & positive("UnitPrice")
     )
 
 
@@ -119,7 +125,8 @@ def clean_retail(source: DataFrame, date_format: str | None = None) -> DataFrame
     a pattern. Text that is no number or date raises, as does a fractional quantity,
     for which the curated table has no type. Customer numbers have 64 bits.
     """
-    lines = _with_numbers(source).filter(_kept())
+    numbers = _with_numbers(source)
+    lines = numbers.filter(_kept(numbers))
     if date_format is None:
         sold_at = F.col("InvoiceDate").cast("timestamp_ntz")
     else:
@@ -135,7 +142,7 @@ def clean_retail(source: DataFrame, date_format: str | None = None) -> DataFrame
             "InvoiceDate": sold_at,
             "CustomerID": F.col("CustomerID").cast("bigint"),
             "UnitPrice": price.cast("double"),
-            "TotalPrice": quantity * price.cast("double"),
+            "TotalPrice": quantity.cast("double") * price.cast("double"),
         }
     )
 

@@ -477,9 +477,22 @@ SELECT CAST(year(event_timestamp) AS VARCHAR) AS year, CAST(month(event_timestam
        count(*) FILTER (event_name IN ('first_transaction', 'repeat_transaction')) AS pagos
 FROM pe GROUP BY 1, 2
 """,
-    "retail_of_one_month": f"""
+    "retail_by_month_and_country": f"""
 WITH {RETAIL}
-SELECT country, count(*) AS lines, {_rounded(_sum('total'), 2)} AS revenue
-FROM kept WHERE year(sold_at) = 1997 AND month(sold_at) = 3 GROUP BY 1
+SELECT CAST(year(sold_at) AS VARCHAR) AS year, CAST(month(sold_at) AS VARCHAR) AS month, country,
+       count(*) AS lines, {_rounded(_sum('total'), 2)} AS revenue
+FROM kept GROUP BY 1, 2, 3
+""",
+    "views_in_sql": f"""
+WITH {PRODUCT_EVENTS},
+firsts AS (SELECT o_custkey, min(o_orderdate) AS t FROM orders GROUP BY 1),
+daily AS (SELECT CAST(event_timestamp AS DATE) AS d, count(DISTINCT user_id) AS users FROM pe GROUP BY 1),
+acquired AS (SELECT strftime(t, '%Y-%m') AS month, count(*) AS customers, min(t) AS earliest FROM firsts GROUP BY 1),
+active AS (SELECT strftime(d, '%Y-%m') AS month, count(*) AS days, max(users) AS most_users FROM daily GROUP BY 1),
+paid AS (
+  SELECT strftime(event_timestamp, '%Y-%m') AS month, count(*) AS payments, count(*) FILTER (is_fraud) AS frauds
+  FROM pe WHERE event_name IN ('first_transaction', 'repeat_transaction') GROUP BY 1)
+SELECT month, customers, earliest, days, most_users, payments, frauds
+FROM acquired FULL JOIN active USING (month) FULL JOIN paid USING (month)
 """,
 }

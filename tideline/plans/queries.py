@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tideline.functions.ratios import exact_sum, rounded_money
 from tideline.operators import abtest, cleaning, cohorts, engagement, funnel, metrics, product
+from tideline.operators.results import DAU_VIEW, FIRST_PURCHASE_VIEW, MONTHLY_TRANSACTIONS_VIEW, register_views
 from tideline.plans import mappings
 from tideline.plans.storage import shared_folder, written
 from tideline.sources import (
-    create_database,
     curate_product_events,
     curate_retail,
     export_csv,
+    own_database,
     read_curated,
     read_raw,
     read_retail_source,
@@ -61,16 +62,16 @@ def events_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retail_sources_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two uncleaned exports, one without descriptions, read back and cleaned.
 
-    The joined lines are written once, and both exports made from them.
+    One pass over the joined lines writes both: rows go to the folder of their export.
     """
-    folder = shared_folder(spark)
-    lines = written(mappings.retail_source(spark, sf_dir), f"{folder}/lines")
+    folder = f"{shared_folder(spark)}/exports"
+    older = F.coalesce(F.col("InvoiceDate") < F.lit("1998-01-01").cast("date"), F.lit(False))
+    lines = mappings.retail_source(spark, sf_dir).withColumns(
+        {"Description": F.when(older, F.col("Description")), "export": F.when(older, "older").otherwise("newer")}
+    )
     text = {"header": "true", "encoding": "ISO-8859-1", "escape": '"'}
-    older = F.col("InvoiceDate") < F.lit("1998-01-01").cast("date")
-    lines.filter(older).write.options(**text).csv(f"{folder}/older")
-    newer = ~older | F.col("InvoiceDate").isNull()
-    lines.filter(newer).drop("Description").write.options(**text).csv(f"{folder}/newer")
-    source = read_retail_source(spark, [f"{folder}/older", f"{folder}/newer"])
+    lines.write.partitionBy("export").options(**text).csv(folder)
+    source = read_retail_source(spark, [f"{folder}/export={name}" for name in ("older", "newer")])
     return (
         cleaning.clean_retail(source)
         .groupBy("Country")
@@ -116,42 +117,56 @@ def cac_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated events registered in a database, their partitions recovered, counted through SQL.
 
-    The database is new for each call, in Spark's own catalog, and holds only the entry:
-    the files stay in the shared folder.
+    The counts are kept as a table of their own, so the database is dropped before they are
+    returned, and a call leaves nothing in the catalog.
     """
     folder = shared_folder(spark)
     write_curated(curate_product_events(mappings.raw_product_events(spark, sf_dir)), f"{folder}/events")
     database = "tideline_" + folder.rpartition("-")[2].replace("/", "_")
-    create_database(spark, database)
-    register_curated(spark, f"{database}.product_events", f"{folder}/events", "product_events")
-    refresh_partitions(spark, f"{database}.product_events")
-    spark.sql(
-        f"CREATE OR REPLACE VIEW {database}.pagos AS SELECT * FROM {database}.product_events "
-        "WHERE event_name IN ('first_transaction', 'repeat_transaction')"
-    )
-    return spark.sql(
-        f"SELECT e.year, e.month, e.eventos, coalesce(p.pagos, 0) AS pagos "
-        f"FROM (SELECT year, month, count(*) AS eventos FROM {database}.product_events GROUP BY ALL) e "
-        f"LEFT JOIN (SELECT year, month, count(*) AS pagos FROM {database}.pagos GROUP BY ALL) p "
-        "ON e.year = p.year AND e.month = p.month"
-    )
-
-
-# The month of the pruned query, as the partition columns spell it.
-ONE_MONTH = ("1997", "3")
+    with own_database(spark, database):
+        register_curated(spark, f"{database}.product_events", f"{folder}/events", "product_events")
+        refresh_partitions(spark, f"{database}.product_events")
+        spark.sql(
+            f"CREATE OR REPLACE VIEW {database}.pagos AS SELECT * FROM {database}.product_events "
+            "WHERE event_name IN ('first_transaction', 'repeat_transaction')"
+        )
+        counted = spark.sql(
+            f"SELECT e.year, e.month, e.eventos, coalesce(p.pagos, 0) AS pagos "
+            f"FROM (SELECT year, month, count(*) AS eventos FROM {database}.product_events GROUP BY ALL) e "
+            f"LEFT JOIN (SELECT year, month, count(*) AS pagos FROM {database}.pagos GROUP BY ALL) p "
+            "ON e.year = p.year AND e.month = p.month"
+        )
+        return written(counted, f"{folder}/counts")
 
 
-def retail_of_one_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One month of the curated lines per country; the reader opens that partition alone."""
+def retail_by_month_and_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and revenue of every month and country, from the curated layer's partitions."""
     path = f"{shared_folder(spark)}/retail"
     write_curated(_curated_retail(spark, sf_dir), path)
-    year, month = ONE_MONTH
-    lines = read_curated(spark, path, "online_retail").filter((F.col("year") == year) & (F.col("month") == month))
-    return lines.groupBy("country").agg(
+    return read_curated(spark, path, "online_retail").groupBy("year", "month", "country").agg(
         F.count("*").alias("lines"), rounded_money(exact_sum("total_price")).alias("revenue")
     )
 
 
+def views_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three views through SQL: per month, new customers, active users and payment volume."""
+    register_views(mappings.transactions(spark, sf_dir), mappings.product_events(spark, sf_dir))
+    return spark.sql(
+        f"""
+        WITH acquired AS (
+            SELECT substring(CAST(acquisition_cohort_month AS STRING), 1, 7) AS month, count(*) AS customers,
+                   min(first_purchase_date) AS earliest
+            FROM {FIRST_PURCHASE_VIEW} GROUP BY 1),
+        active AS (
+            SELECT substring(CAST(activity_day AS STRING), 1, 7) AS month, count(*) AS days, max(dau) AS most_users
+            FROM {DAU_VIEW} GROUP BY 1),
+        paid AS (
+            SELECT month, count(*) AS payments, count_if(is_fraud) AS frauds FROM {MONTHLY_TRANSACTIONS_VIEW} GROUP BY 1)
+        SELECT month, customers, earliest, days, most_users, payments, frauds
+        FROM acquired FULL JOIN active USING (month) FULL JOIN paid USING (month)"""
+    )
+
+
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cohort matrix through a result file."""
     path = f"{shared_folder(spark)}/cohorts"
@@ -244,7 +259,8 @@ QUERIES: dict[str, Query] = {
     "ab_significance_csv": _query(lambda ab: _rounded_test(abtest.ab_significance(ab)), _csv_ab_test),
     "cac_csv": cac_csv,
     "catalog_partitions": catalog_partitions,
-    "retail_of_one_month": retail_of_one_month,
+    "retail_by_month_and_country": retail_by_month_and_country,
+    "views_in_sql": views_in_sql,
 }
 
 

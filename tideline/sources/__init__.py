@@ -4,6 +4,7 @@ from tideline.sources.curated import (
     create_database,
     curate_product_events,
     curate_retail,
+    own_database,
     read_curated,
     refresh_partitions,
     register_curated,
@@ -17,6 +18,7 @@ __all__ = [
     "curate_product_events",
     "curate_retail",
     "export_csv",
+    "own_database",
     "read_curated",
     "read_raw",
     "read_retail_source",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,19 @@ def create_database(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
 
 
+@contextmanager
+def own_database(spark: SparkSession, name: str) -> Iterator[str]:
+    """A database for the length of a ``with`` block; it goes with all its entries, also on errors.
+
+    Files of external tables stay. Frames over its tables must be read or written inside the block.
+    """
+    spark.sql(f"CREATE DATABASE {name}")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
 def register_curated(spark: SparkSession, name: str, path: str, table: str) -> None:
     """Catalog entry over curated files; run :func:`refresh_partitions` after."""
     columns = ", ".join(

@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from tideline.llm import (
     embedding_dedup,
     language_model,
@@ -506,16 +508,43 @@ def test_language_model_scores(spark):
     assert language_model.held_out is not None
 
 
-def test_the_network_learns_from_every_training_document(spark, monkeypatch):
-    class Enough(Exception):
-        pass
+def test_the_network_learns_from_every_training_document(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)] + [(7, "text 7")] * 50, "doc_id long, text string")
+    model, _ = language_model.fit_language_model(docs, F.lit(True))
+    coded = language_model._coded(docs, model.outputs, 8, "text").collect()
+    assert len(coded) == 450
+    numbers = language_model.numbers_of(model.outputs)
+    end = model.outputs[language_model.hashed(b"")]
+    expected = sorted([numbers[b"text"], numbers[str(i).encode()], end] for i in [*range(400), *[7] * 50])
+    assert sorted(np.frombuffer(r["tokens"], dtype=np.uint16).tolist() for r in coded) == expected
+    same = {r["shard"] for r in coded if np.frombuffer(r["tokens"], dtype=np.uint16)[1] == numbers[b"7"]}
+    assert len(same) > 4  # rows that repeat a document are spread
 
-    def counted(frame, path):
-        raise Enough(frame.count())
 
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
-    model = language_model.LanguageModel(None, {}, {}, {}, np.zeros(0), np.zeros(0), 10**9, 0)
-    monkeypatch.setattr(language_model, "written", counted)
-    with pytest.raises(Enough) as found:
-        language_model._trained(model, docs, "doc_id", "text", "unused")
-    assert found.value.args == (400,)
+def test_every_token_of_a_shard_is_trained_on(monkeypatch):
+    monkeypatch.setattr(recurrent, "STREAM_WINDOWS", 1)
+    shape = recurrent.Shape(6, (0, 2), 2)
+    draw = np.random.default_rng(5)
+    trainer = recurrent.Trainer(recurrent.initial(shape, np.ones(8), hidden=3), shape, 0)
+    for size in (1, 5, 1000, 777, 3):
+        trainer.segment(draw.integers(0, 8, size))
+    trainer.finish()
+    assert trainer.tokens == 1786 and not len(trainer.left)
+
+
+def test_training_in_a_tree_of_averages(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 40)
+    monkeypatch.setattr(language_model, "FAN_IN", 3)
+    monkeypatch.setattr(language_model, "SEGMENT_TOKENS", 64)
+    docs = spark.createDataFrame([(i, f"a b c {i % 5} " * 4) for i in range(40)], "doc_id long, text string")
+    model, counts = language_model.fit_language_model(docs, F.lit(True))
+    assert all(np.isfinite(w).all() for w in model.weights.values())
+    one = docs.limit(1)
+    score = language_model.score_documents(one, model, counts).first()
+    assert score["score"] > score["base_score"]
+
+
+def test_averages_weigh_tokens(spark):
+    rows = [(0, 0, 1, [1.0, 2.0]), (0, 0, 3, [5.0, 2.0]), (1, 0, 2, [4.0])]
+    frame = spark.createDataFrame(rows, "block int, part int, tokens long, weights array<float>")
+    assert sorted(tuple(r) for r in language_model._averaged(frame).collect()) == [(0, 0, 4, [4.0, 2.0]), (1, 0, 2, [4.0])]

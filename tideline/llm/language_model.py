@@ -7,9 +7,11 @@ others belong to one of TAIL_CLASSES classes by their first two bytes, and a tai
 of its class is its smoothed count. So every word, unseen ones included, has a probability and
 the classes' sums are 1.
 
-The network is trained on every training document. Shards of these, dealt by a hash of the id, train
-side by side by truncated backpropagation, and their weights are averaged after each of ROUNDS rounds.
-Scoring carries the state through each whole document.
+The network is trained on every training document, once. Rows are dealt to shards by a hash and train
+side by side by truncated backpropagation, each of ROUNDS rounds on its share of the documents; after a round
+the shards' weights are averaged in a tree, FAN_IN at a time. A shard is a partition sorted by shard
+that streams through its task in segments, whatever its size. Scoring carries the state
+through each whole document.
 
 A word is known by its 64-bit hash. Counts of the most frequent HELD words are sent to the tasks, a
 bounded table; those of other words are joined.
@@ -31,14 +33,17 @@ from pyspark.sql import functions as F
 from tideline.llm import recurrent
 from tideline.llm.recurrent import Shape, Weights
 from tideline.llm.texts import fold
-from tideline.plans.storage import shared_folder, written
-
-WORDS = 8_192
-CLASSES = 64
-TAIL_CLASSES = 32
-HELD = 65_536
-SHARD_TOKENS = 500_000
+from tideline.plans.storage import Scratch
+
+WORDS = 2_048
+CLASSES = 32
+TAIL_CLASSES = 64
+HELD = 131_072
+SHARD_TOKENS = 4_000_000
+#: Tokens that a shard learns from at a time.
+SEGMENT_TOKENS = 1 << 18
 ROUNDS = 4
+FAN_IN = 64
 FOLDS, HELD_OUT = 5, 1
 BLOCK = 4_096
 CODES_HELD = 1_000_000
@@ -76,12 +81,37 @@ class LanguageModel:
     distinct: int
 
 
+class Known(dict):
+    """A table of words that is filled as words are asked for, by ``add``."""
+
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.add(word)
+        return found
+
+    def of(self, words: list[bytes], kind: type) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), kind, len(words))
+
+
+def numbers_of(outputs: dict[int, int]) -> Known:
+    """Input number of each word: that of its output, or that of its tail class."""
+
+    def add(word: bytes) -> int:
+        number = outputs.get(hashed(word))
+        return len(outputs) + tail_class(word) if number is None else number
+
+    return Known(add)
+
+
 class Coder:
     """Numbers of words for one task: what each adds to a document's sums."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.code: dict[bytes, int] = {}
+        self.code = Known(self._add)
         self._clear()
 
     def _clear(self) -> None:
@@ -100,20 +130,15 @@ class Coder:
             inside = seen - float(np.log10(model.tail_tokens[own] + 0.5 * (model.tail_words[own] + 1)))
         else:
             inside = 0.0
-        self.code[word] = len(self.input)
         self.input.append(number)
         self.base.append(seen)
         self.own.append(inside)
         self.known.append(int(count is not None))
         self.hash.append(key)
-        return self.code[word]
+        return len(self.input) - 1
 
     def codes(self, text: str | None) -> np.ndarray:
-        words, code = words_of(text), self.code
-        try:
-            return np.fromiter((code[w] for w in words), np.int64, len(words))
-        except KeyError:
-            return np.array([code[w] if w in code else self._add(w) for w in words], dtype=np.int64)
+        return self.code.of(words_of(text), np.int64)
 
     def trim(self) -> None:
         """To be called between batches: codes given before are void after it."""
@@ -161,16 +186,15 @@ def _at_least(counts: DataFrame, most: int) -> int:
     return least
 
 
-def fit_language_model(
-    docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[LanguageModel, DataFrame]:
+def fit_language_model(docs: DataFrame, learns: Column, text_col: str = "text") -> tuple[LanguageModel, DataFrame]:
     """(the model, the counts of all training words as (hash, count)).
 
-    ``learns`` says which rows are training rows; null texts are empty documents.
+    ``learns`` says which rows are training rows; null texts are empty documents, and
+    rows that repeat a document are learned from again.
     """
-    folder = shared_folder(docs.sparkSession)
-    training = docs.where(learns).select(id_col, text_col)
-    counts = written(token_counts(training, text_col), f"{folder}/counts")
+    scratch = Scratch(docs.sparkSession)
+    training = docs.where(learns).select(text_col)
+    counts = scratch.write(token_counts(training, text_col), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     held = counts.where(F.col("count") >= _at_least(counts, HELD)).select("hash", "count").collect()
     ranked = sorted(((r["count"], r["hash"]) for r in held), key=lambda pair: (-pair[0], pair[1]))
@@ -199,32 +223,56 @@ def fit_language_model(
     weights = recurrent.initial(shape, np.concatenate([own, tail_tokens]))
     model = LanguageModel(shape, weights, outputs, known, tail_tokens, tail_words, tokens, distinct)
     if tokens:
-        model = _trained(model, training, id_col, text_col, f"{folder}/train")
+        model = _trained(model, training, text_col, scratch)
     return model, counts.select("hash", "count")
 
 
-def _trained(model: LanguageModel, training: DataFrame, id_col: str, text_col: str, path: str) -> LanguageModel:
-    shards = max(1, round(model.tokens / SHARD_TOKENS))
-    picked = training.select(
-        F.pmod(F.xxhash64(F.lit("shard"), id_col), F.lit(shards)).cast("int").alias("shard"),
-        F.pmod(F.xxhash64(F.lit("round"), id_col), F.lit(ROUNDS)).cast("int").alias("round"),
-        F.xxhash64(F.lit("order"), id_col, text_col).alias("place"),
-        F.col(text_col).alias("text"),
+def _coded(training: DataFrame, outputs: dict[int, int], shards: int, text_col: str) -> DataFrame:
+    """(shard, round, place, tokens) of every training row; tokens are input numbers of 16 bits.
+
+    The place of a row among the others counts in its hash, so that rows which repeat an id and
+    a text go to different shards.
+    """
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = numbers_of(outputs)
+        for batch in batches:
+            if len(numbers) > CODES_HELD:
+                numbers.clear()
+            tokens = [numbers.of(words_of(text), np.uint16).tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"place": batch["place"], "tokens": tokens})
+
+    rows = training.select(F.xxhash64(F.monotonically_increasing_id(), text_col).alias("place"), F.col(text_col).alias("text"))
+    coded = rows.mapInPandas(code, "place long, tokens binary")
+    return coded.select(
+        F.pmod(F.xxhash64(F.lit("shard"), "place"), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64(F.lit("round"), "place"), F.lit(ROUNDS)).cast("int").alias("round"),
+        "place",
+        "tokens",
     )
-    picked = written(picked, path)
+
+
+def _trained(model: LanguageModel, training: DataFrame, text_col: str, scratch: Scratch) -> LanguageModel:
+    shards = max(1, round(model.tokens / SHARD_TOKENS))
+    coded = scratch.write(_coded(training, model.outputs, shards, text_col), "coded")
     names = sorted(model.weights)
     sizes = [model.weights[name].size for name in names]
     weights = model.weights
     for turn in range(ROUNDS):
-        rows = picked.where(F.col("round") == turn).groupBy("shard").applyInPandas(
+        dealt = coded.where(F.col("round") == turn).repartitionById(shards, "shard")
+        rows = dealt.sortWithinPartitions("shard", "place").select("shard", "tokens").mapInPandas(
             _shard_trainer(model, weights, names), "block int, part int, tokens long, weights array<float>"
         )
-        halfway = _averaged(rows.withColumn("part", F.pmod("part", F.lit(16))), ["block", "part"])
-        blocks = _averaged(halfway, ["block"]).select("block", "weights").orderBy("block").collect()
+        parts = shards
+        while parts > 1:
+            rows = _averaged(rows.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")))
+            parts = -(-parts // FAN_IN)
+        blocks = rows.select("block", "weights").orderBy("block").collect()
         if blocks:
             flat = np.concatenate([np.array(row["weights"], dtype=np.float32) for row in blocks])
             cuts = np.split(flat, np.cumsum(sizes)[:-1])
             weights = {n: cut.reshape(weights[n].shape) for n, cut in zip(names, cuts, strict=True)}
+    scratch.drop("coded")
     return LanguageModel(
         model.shape, weights, model.outputs, model.counts, model.tail_tokens, model.tail_words, model.tokens,
         model.distinct,
@@ -232,34 +280,45 @@ def _trained(model: LanguageModel, training: DataFrame, id_col: str, text_col: s
 
 
 def _shard_trainer(model: LanguageModel, weights: Weights, names: list[str]):
-    end = model.outputs[hashed(END)]
+    end, shape = model.outputs[hashed(END)], model.shape
 
-    def train(frame: pd.DataFrame) -> pd.DataFrame:
-        coder = Coder(model)
-        frame = frame.sort_values("place", kind="stable")
-        texts = [np.array([coder.input[c] for c in coder.codes(text)]) for text in frame["text"]]
-        learned = recurrent.train(weights, model.shape, texts, end)
-        flat = np.concatenate([learned[name].ravel() for name in names])
+    def learned(shard: int, trainer: recurrent.Trainer) -> pd.DataFrame:
+        last = trainer.finish()
+        flat = np.concatenate([last[name].ravel() for name in names])
         blocks = [flat[at : at + BLOCK] for at in range(0, len(flat), BLOCK)]
-        size = sum(map(len, texts))
-        shard = int(frame["shard"].iloc[0])
-        return pd.DataFrame({"block": range(len(blocks)), "part": shard, "tokens": size, "weights": blocks})
+        return pd.DataFrame({"block": range(len(blocks)), "part": shard, "tokens": trainer.tokens, "weights": blocks})
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, trainer, held, size = None, None, [], 0
+        for batch in batches:
+            for number, tokens in zip(batch["shard"], batch["tokens"], strict=True):
+                if number != shard:
+                    if trainer is not None:
+                        trainer.segment(np.concatenate(held))
+                        yield learned(shard, trainer)
+                    shard, trainer, held, size = number, recurrent.Trainer(weights, shape, end), [], 0
+                held.append(np.frombuffer(tokens, dtype=np.uint16).astype(np.int64))
+                size += len(held[-1])
+                if size >= SEGMENT_TOKENS:
+                    trainer.segment(np.concatenate(held))
+                    held, size = [np.zeros(0, dtype=np.int64)], 0
+        if trainer is not None:
+            trainer.segment(np.concatenate(held))
+            yield learned(shard, trainer)
 
     return train
 
 
-def _averaged(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The mean of the weights of each key, by tokens; a group has one row per shard or sixteen."""
+def _averaged(rows: DataFrame) -> DataFrame:
+    """The mean, by tokens, of the weights of each block and part; a part has at most FAN_IN rows."""
 
     def mean(frame: pd.DataFrame) -> pd.DataFrame:
         tokens = frame["tokens"].to_numpy(dtype=np.float64)
-        values = np.stack(frame["weights"].to_numpy())
-        out = {key: [frame[key].iloc[0]] for key in keys}
-        average = (tokens @ values / tokens.sum()).astype(np.float32)
-        return pd.DataFrame(out | {"tokens": [int(tokens.sum())], "weights": [average]})
+        average = (tokens @ np.stack(frame["weights"].to_numpy()) / tokens.sum()).astype(np.float32)
+        first = {key: [frame[key].iloc[0]] for key in ("block", "part")}
+        return pd.DataFrame(first | {"tokens": [int(tokens.sum())], "weights": [average]})
 
-    schema = ", ".join(f"{key} int" for key in keys) + ", tokens long, weights array<float>"
-    return rows.groupBy(*keys).applyInPandas(mean, schema)
+    return rows.groupBy("block", "part").applyInPandas(mean, "block int, part int, tokens long, weights array<float>")
 
 
 def score_documents(
@@ -272,7 +331,6 @@ def score_documents(
     other columns are not read. Without training tokens the base score of a token is
     log10(0.5 / 0.5) = 0.
     """
-    folder = shared_folder(docs.sparkSession)
     end = model.outputs[hashed(END)]
     level = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
 
@@ -310,7 +368,7 @@ def score_documents(
         "rare array<long>, times array<long>"
     )
     rows = docs.select(F.monotonically_increasing_id().alias("row"), id_col, text_col).mapInPandas(score, schema)
-    rows = written(rows, f"{folder}/scores")
+    rows = Scratch(docs.sparkSession).write(rows, "scores")
     pairs = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p"))
     pairs = pairs.select("row", F.col("p.rare").alias("hash"), F.col("p.times").alias("times"))
     joined = pairs.join(counts, "hash", "left")

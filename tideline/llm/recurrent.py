@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 32
-WINDOW = 20
-STREAMS = 32
-RATE_DENSE, RATE_ROWS = 0.005, 0.1
+HIDDEN = 16
+WINDOW = 32
+#: Streams of a segment: as many as give STREAM_WINDOWS windows each, within these bounds.
+LEAST_STREAMS, MOST_STREAMS, STREAM_WINDOWS = 16, 256, 64
+RATE_DENSE, RATE_ROWS = 0.01, 0.2
 
 
 @dataclass(frozen=True)
@@ -27,8 +28,11 @@ class Shape:
 
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         """Output class of input numbers: words first, then the other classes."""
-        own = np.searchsorted(np.array(self.starts), ids, side="right") - 1
-        return np.where(ids < self.words, own, self.classes + ids - self.words)
+        inputs = np.arange(self.words + self.others)
+        own = np.searchsorted(np.array(self.starts), inputs, side="right") - 1
+        # Small numbers sort by counting.
+        table = np.where(inputs < self.words, own, self.classes + inputs - self.words).astype(np.int16)
+        return table[ids]
 
     def span(self, number: int) -> slice:
         ends = [*self.starts[1:], self.words]
@@ -60,30 +64,39 @@ def initial(shape: Shape, counts: np.ndarray, hidden: int = HIDDEN, seed: int =
 
 
 def gates(pre: np.ndarray, state: np.ndarray, recur: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(new state, reset, update, candidate, recurrent part of the candidate) from input and state."""
+    """(new state, reset and update, candidate, recurrent part of the candidate) from input and state."""
     hidden = state.shape[1]
     turned = state @ recur
-    both = 1.0 / (1.0 + np.exp(-(pre[:, : 2 * hidden] + turned[:, : 2 * hidden])))
-    reset, update = both[:, :hidden], both[:, hidden:]
+    both = turned[:, : 2 * hidden] + pre[:, : 2 * hidden]
+    np.negative(both, out=both)
+    np.exp(both, out=both)
+    both += 1
+    np.reciprocal(both, out=both)
     inner = turned[:, 2 * hidden :]
-    candidate = np.tanh(pre[:, 2 * hidden :] + reset * inner)
-    return candidate + update * (state - candidate), reset, update, candidate, inner
-
-
-def _log_shares(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    candidate = both[:, :hidden] * inner
+    candidate += pre[:, 2 * hidden :]
+    np.tanh(candidate, out=candidate)
+    new = state - candidate
+    new *= both[:, hidden:]
+    new += candidate
+    return new, both, candidate, inner
+
+
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
 
 
 def log_probabilities(weights: Weights, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithm of the class, and the word in it where it is a word, after each state."""
     classes = shape.class_of(targets)
-    logits = states @ weights["class"] + weights["class_bias"]
-    top = logits.max(axis=1)
-    out = logits[np.arange(len(targets)), classes] - top
-    logits -= top[:, None]
-    np.exp(logits, out=logits)
-    out -= np.log(logits.sum(axis=1))
+    out = np.empty(len(targets), dtype=states.dtype)
+    for at in range(0, len(targets), _ROWS):
+        part = slice(at, at + _ROWS)
+        out[part] = _log_share(states[part] @ weights["class"] + weights["class_bias"], classes[part])
     order = np.argsort(classes, kind="stable")
     cuts = np.searchsorted(classes[order], np.arange(shape.classes + 1))
     for number in range(shape.classes):
@@ -91,14 +104,22 @@ def log_probabilities(weights: Weights, shape: Shape, states: np.ndarray, target
         span = shape.span(number)
         if len(rows) and span.stop - span.start > 1:
             logits = states[rows] @ weights["word"][span].T + weights["word_bias"][span]
-            top = logits.max(axis=1)
-            out[rows] += logits[np.arange(len(rows)), targets[rows] - span.start] - top
-            logits -= top[:, None]
-            np.exp(logits, out=logits)
-            out[rows] -= np.log(logits.sum(axis=1))
+            out[rows] += _log_share(logits, targets[rows] - span.start)
     return out
 
 
+#: Rows whose logits are held at once, so that they stay in the processor's cache.
+_ROWS = 2_048
+
+
+def _log_share(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's softmax at its own column."""
+    logits -= logits.max(axis=1, keepdims=True)
+    found = logits[np.arange(len(own)), own]
+    np.exp(logits, out=logits)
+    return found - np.log(logits.sum(axis=1))
+
+
 def score(weights: Weights, shape: Shape, texts: list[np.ndarray], end: int, rows: int = 512) -> np.ndarray:
     """Natural log-likelihood of each text of input numbers, its state carried from first to last."""
     hidden = weights["state"].shape[0]
@@ -137,103 +158,137 @@ def score(weights: Weights, shape: Shape, texts: list[np.ndarray], end: int, row
     return totals
 
 
-def streams(texts: list[np.ndarray], end: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs, targets) of ``count`` parallel streams that hold the texts one after the other."""
-    whole = np.concatenate([np.array([end]), *texts]) if texts else np.array([end])
-    length = max(1, (len(whole) - 1) // count)
-    count = min(count, len(whole) - 1)
+def streams(tokens: np.ndarray, end: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of ``count`` parallel streams that hold the tokens of texts one after the other.
+
+    All streams have one length, so fewer than ``count`` tokens at the end are in none.
+    """
+    whole = np.concatenate([np.array([end]), tokens])
+    count = max(1, min(count, len(whole) - 1))
+    length = (len(whole) - 1) // count
     inputs = whole[: count * length].reshape(count, length)
     return inputs, whole[1 : count * length + 1].reshape(count, length)
 
 
-def train(weights: Weights, shape: Shape, texts: list[np.ndarray], end: int) -> Weights:
-    """The weights after one pass over the texts; windows carry the state, gradients end at a window.
+class Trainer:
+    """Weights that learn from one segment of tokens after another, with the step sizes they have reached.
 
-    A text starts from an empty state, as in scoring: the state is cleared after ``end``.
+    Windows of a segment carry the state, gradients end at a window. A text starts from an
+    empty state, as in scoring: the state is cleared after ``end``.
     """
-    weights = {name: value.copy() for name, value in weights.items()}
-    inputs, targets = streams(texts, end, STREAMS)
-    if inputs.size == 0:
-        return weights
-    squares = {name: np.zeros_like(value) for name, value in weights.items()}
-    means = {name: np.zeros_like(value) for name, value in weights.items()}
-    row_squares = {"embed": np.full(len(weights["embed"]), 1e-4, np.float32)}
-    row_squares["word"] = np.full(len(weights["word"]), 1e-4, np.float32)
-    hidden = weights["state"].shape[0]
-    state = np.zeros((len(inputs), hidden), dtype=np.float32)
-    turns = 0
-    for at in range(0, inputs.shape[1], WINDOW):
-        own, aims = inputs[:, at : at + WINDOW], targets[:, at : at + WINDOW]
-        rows, span = own.shape
+
+    def __init__(self, weights: Weights, shape: Shape, end: int):
+        self.weights = {name: value.copy() for name, value in weights.items()}
+        self.shape, self.end, self.turns, self.tokens = shape, end, 0, 0
+        self.left = np.zeros(0, dtype=np.int64)
+        dense = ("state", "inner", "bias", "class", "class_bias", "word_bias")
+        self.squares = {name: np.zeros_like(weights[name]) for name in dense}
+        self.means = {name: np.zeros_like(weights[name]) for name in dense}
+        self.embed_squares = np.full(len(weights["embed"]), 1e-4, np.float32)
+        self.word_squares = np.full(len(weights["word"]), 1e-4, np.float32)
+
+    def segment(self, tokens: np.ndarray) -> None:
+        """One pass over the tokens; the few that fill no step of all streams come with the next segment."""
+        tokens = np.concatenate([self.left, tokens])
+        count = len(tokens) // (WINDOW * STREAM_WINDOWS)
+        inputs, targets = streams(tokens, self.end, min(max(count, LEAST_STREAMS), MOST_STREAMS))
+        self.left = tokens[inputs.size :]
+        self.tokens += inputs.size
+        state = np.zeros((len(inputs), self.weights["state"].shape[0]), dtype=np.float32)
+        for at in range(0, inputs.shape[1], WINDOW):
+            state = self._window(inputs[:, at : at + WINDOW], targets[:, at : at + WINDOW], state)
+
+    def finish(self) -> Weights:
+        """The weights after what was left over, too."""
+        while len(self.left):
+            inputs, targets = streams(self.left, self.end, len(self.left))
+            self.left = self.left[inputs.size :]
+            self.tokens += inputs.size
+            self._window(inputs, targets, np.zeros((len(inputs), self.weights["state"].shape[0]), dtype=np.float32))
+        return self.weights
+
+    def _window(self, own: np.ndarray, aims: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """An update from one window (rows are streams); the state after it."""
+        weights, (rows, span), hidden = self.weights, own.shape, state.shape[1]
+        own = np.ascontiguousarray(own.T)
         embedded = weights["embed"][own]
         pre = embedded @ weights["inner"] + weights["bias"]
-        states = np.zeros((span, rows, hidden), dtype=np.float32)
-        kept = []
+        goes_on = (own != self.end).astype(np.float32)[:, :, None]
+        before, states, inner = (np.empty((span, rows, hidden), dtype=np.float32) for _ in range(3))
+        candidate = np.empty((span, rows, hidden), dtype=np.float32)
+        both = np.empty((span, rows, 2 * hidden), dtype=np.float32)
         for step in range(span):
-            before = np.where((own[:, step] == end)[:, None], 0, state).astype(np.float32)
-            state, *rest = gates(pre[:, step], before, weights["state"])
-            kept.append((before, *rest))
+            np.multiply(state, goes_on[step], out=before[step])
+            state, both[step], candidate[step], inner[step] = gates(pre[step], before[step], weights["state"])
             states[step] = state
-        flat, aim = states.reshape(-1, hidden), aims.T.ravel()
-        grads, back = _output_gradients(weights, shape, flat, aim)
+        grads, back = _output_gradients(weights, self.shape, states.reshape(-1, hidden), aims.T.ravel())
         back = back.reshape(span, rows, hidden)
-        pre_back = np.zeros_like(pre)
-        state_grad = np.zeros_like(weights["state"])
+        reset, update = both[:, :, :hidden], both[:, :, hidden:]
+        by_candidate = (1 - update) * (1 - candidate * candidate)
+        by_update = (before - candidate) * update * (1 - update)
+        by_reset = inner * reset * (1 - reset)
+        turned = np.empty((span, rows, 3 * hidden), dtype=np.float32)
         flow = np.zeros((rows, hidden), dtype=np.float32)
+        across = np.ascontiguousarray(weights["state"].T)
+        pre_back = np.empty_like(pre)
         for step in range(span - 1, -1, -1):
-            before, reset, update, candidate, inner = kept[step]
-            new = back[step] + flow
-            to_candidate = new * (1 - update) * (1 - candidate**2)
-            to_update = new * (before - candidate) * update * (1 - update)
-            to_reset = to_candidate * inner * reset * (1 - reset)
-            turned = np.hstack([to_reset, to_update, to_candidate * reset])
-            state_grad += before.T @ turned
-            pre_back[:, step] = np.hstack([to_reset, to_update, to_candidate])
-            flow = new * update + turned @ weights["state"].T
-            flow[own[:, step] == end] = 0
-        grads["state"] = state_grad
-        grads["inner"] = embedded.reshape(-1, hidden).T @ pre_back.reshape(-1, 3 * hidden)
-        grads["bias"] = pre_back.sum(axis=(0, 1))
-        turns += 1
-        for name in ("state", "inner", "bias", "class", "class_bias", "word_bias"):
+            flow += back[step]
+            one, two = turned[step], pre_back[step]
+            np.multiply(flow, by_candidate[step], out=two[:, 2 * hidden :])
+            np.multiply(flow, by_update[step], out=one[:, hidden : 2 * hidden])
+            np.multiply(two[:, 2 * hidden :], by_reset[step], out=one[:, :hidden])
+            np.multiply(two[:, 2 * hidden :], reset[step], out=one[:, 2 * hidden :])
+            flow *= update[step]
+            flow += one @ across
+            flow *= goes_on[step]
+        pre_back[:, :, : 2 * hidden] = turned[:, :, : 2 * hidden]
+        flat = pre_back.reshape(-1, 3 * hidden)
+        grads["state"] = before.reshape(-1, hidden).T @ turned.reshape(-1, 3 * hidden)
+        grads["inner"] = embedded.reshape(-1, hidden).T @ flat
+        grads["bias"] = flat.sum(axis=0)
+        self.turns += 1
+        for name, mean in self.means.items():
             grad = np.clip(grads[name], -1, 1) if name in ("state", "inner", "bias") else grads[name]
-            means[name] += 0.1 * (grad - means[name])
-            squares[name] += 0.01 * (grad**2 - squares[name])
-            speed = RATE_DENSE * np.sqrt(1 - 0.99**turns) / (1 - 0.9**turns)
-            weights[name] -= (speed * means[name] / (np.sqrt(squares[name]) + 1e-8)).astype(np.float32)
-        to_embed = (pre_back @ weights["inner"].T).reshape(-1, hidden)
-        _adjust_rows(weights["embed"], row_squares["embed"], own.ravel(), to_embed)
-        _adjust_rows(weights["word"], row_squares["word"], *grads["word_rows"])
-    return weights
+            mean += 0.1 * (grad - mean)
+            self.squares[name] += 0.01 * (grad**2 - self.squares[name])
+            speed = RATE_DENSE * np.sqrt(1 - 0.99**self.turns) / (1 - 0.9**self.turns)
+            weights[name] -= (speed * mean / (np.sqrt(self.squares[name]) + 1e-8)).astype(np.float32)
+        _adjust_rows(weights["embed"], self.embed_squares, own.ravel(), flat @ weights["inner"].T)
+        self.word_squares += (grads["word"] ** 2).mean(axis=1)
+        weights["word"] -= RATE_ROWS * grads["word"] / np.sqrt(self.word_squares)[:, None]
+        return state
+
+
+def train(weights: Weights, shape: Shape, texts: list[np.ndarray], end: int) -> Weights:
+    """The weights after one pass over the texts."""
+    trainer = Trainer(weights, shape, end)
+    if texts:
+        trainer.segment(np.concatenate(texts))
+    return trainer.finish()
 
 
 def _output_gradients(weights: Weights, shape: Shape, states: np.ndarray, targets: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the mean negative log-likelihood for the output weights and the states."""
     count = len(targets)
     classes = shape.class_of(targets)
-    shares = np.exp(_log_shares(states @ weights["class"] + weights["class_bias"]))
+    shares = _shares(states @ weights["class"] + weights["class_bias"])
     shares[np.arange(count), classes] -= 1
     shares /= count
     back = shares @ weights["class"].T
     grads = {"class": states.T @ shares, "class_bias": shares.sum(axis=0)}
-    word_bias = np.zeros_like(weights["word_bias"])
-    rows_at, rows_grad = [], []
+    grads["word"], grads["word_bias"] = np.zeros_like(weights["word"]), np.zeros_like(weights["word_bias"])
     order = np.argsort(classes, kind="stable")
     cuts = np.searchsorted(classes[order], np.arange(shape.classes + 1))
     for number in range(shape.classes):
         rows, span = order[cuts[number] : cuts[number + 1]], shape.span(number)
         if len(rows) and span.stop - span.start > 1:
-            own = weights["word"][span]
-            shares = np.exp(_log_shares(states[rows] @ own.T + weights["word_bias"][span]))
+            own, mine = weights["word"][span], states[rows]
+            shares = _shares(mine @ own.T + weights["word_bias"][span])
             shares[np.arange(len(rows)), targets[rows] - span.start] -= 1
             shares /= count
             back[rows] += shares @ own
-            word_bias[span] = shares.sum(axis=0)
-            rows_at.append(np.arange(span.start, span.stop))
-            rows_grad.append(shares.T @ states[rows])
-    grads["word_bias"] = word_bias
-    empty = (np.zeros(0, np.int64), np.zeros((0, states.shape[1]), np.float32))
-    grads["word_rows"] = (np.concatenate(rows_at), np.concatenate(rows_grad)) if rows_at else empty
+            grads["word_bias"][span] = shares.sum(axis=0)
+            grads["word"][span] = shares.T @ mine
     return grads, back
 
 

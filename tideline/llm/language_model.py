@@ -62,8 +62,8 @@ def tail_class(word: bytes) -> int:
 END = b""
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8").lower().split(), END]
+def words_of(text: bytes | None) -> list[bytes]:
+    return [*(text or b"").lower().split(), END]
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ class Coder:
         self.hash.append(key)
         return len(self.input) - 1
 
-    def codes(self, text: str | None) -> np.ndarray:
+    def codes(self, text: bytes | None) -> np.ndarray:
         return self.code.of(words_of(text), np.int64)
 
     def trim(self) -> None:
@@ -170,7 +170,7 @@ def token_counts(texts: DataFrame, text_col: str) -> DataFrame:
                     yield flush()
         yield flush()
 
-    rows = texts.select(text_col).mapInPandas(count, "hash long, tail int, count long")
+    rows = texts.select(F.col(text_col).cast("binary").alias(text_col)).mapInPandas(count, "hash long, tail int, count long")
     return rows.groupBy("hash").agg(F.min("tail").alias("tail"), F.sum("count").alias("count"))
 
 
@@ -242,7 +242,7 @@ def _coded(training: DataFrame, outputs: dict[int, int], shards: int, text_col:
             tokens = [numbers.of(words_of(text), np.uint16).tobytes() for text in batch["text"]]
             yield pd.DataFrame({"place": batch["place"], "tokens": tokens})
 
-    rows = training.select(F.xxhash64(F.monotonically_increasing_id(), text_col).alias("place"), F.col(text_col).alias("text"))
+    rows = training.select(F.xxhash64(F.monotonically_increasing_id(), text_col).alias("place"), F.col(text_col).cast("binary").alias("text"))
     coded = rows.mapInPandas(code, "place long, tokens binary")
     return coded.select(
         F.pmod(F.xxhash64(F.lit("shard"), "place"), F.lit(shards)).cast("int").alias("shard"),
@@ -339,45 +339,41 @@ def score_documents(
         for batch in batches:
             coder.trim()
             codes = [coder.codes(text) for text in batch[text_col]]
+            if not codes:
+                continue
             inputs, base = np.array(coder.input), np.array(coder.base)
-            own, known, keys = np.array(coder.own), np.array(coder.known), np.array(coder.hash)
-            model_score = recurrent.score(model.weights, model.shape, [inputs[c] for c in codes], end) / LOG10
-            rows = []
-            for text_codes in codes:
-                rare = keys[text_codes[known[text_codes] == 0]]
-                names, times = np.unique(rare, return_counts=True)
-                rows.append(
-                    (
-                        len(text_codes),
-                        int(known[text_codes].sum()),
-                        float(base[text_codes].sum()),
-                        float(own[text_codes].sum()),
-                        names.tolist(),
-                        times.tolist(),
-                    )
-                )
-            frame = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "own", "rare", "times"])
-            frame.insert(0, "row", batch["row"].to_numpy())
-            frame.insert(1, id_col, batch[id_col].to_numpy())
-            frame["own"] += model_score
-            yield frame
+            own, known, keys = np.array(coder.own), np.array(coder.known, dtype=bool), np.array(coder.hash)
+            # Every text has at least its end, so sums over pieces of the batch are sums over texts.
+            lengths = np.array([len(c) for c in codes])
+            starts, flat = np.cumsum(lengths) - lengths, np.concatenate(codes)
+            model_score = recurrent.score(model.weights, model.shape, np.split(inputs[flat], starts[1:]), end) / LOG10
+            rare = ~known[flat]
+            many = np.add.reduceat(rare, starts, dtype=np.int64)
+            yield pd.DataFrame(
+                {
+                    "row": batch["row"].to_numpy(),
+                    id_col: batch[id_col].to_numpy(),
+                    "n_tokens": lengths,
+                    "n_known": lengths - many,
+                    "base": np.add.reduceat(base[flat], starts),
+                    "own": np.add.reduceat(own[flat], starts) + model_score,
+                    "rare": np.split(keys[flat[rare]], np.cumsum(many)[:-1]),
+                }
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = (
-        f"row long, `{id_col}` {kind}, n_tokens long, n_known long, base double, own double, "
-        "rare array<long>, times array<long>"
-    )
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), id_col, text_col).mapInPandas(score, schema)
+    schema = f"row long, `{id_col}` {kind}, n_tokens long, n_known long, base double, own double, rare array<long>"
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), id_col, F.col(text_col).cast("binary").alias(text_col)
+    ).mapInPandas(score, schema)
     rows = Scratch(docs.sparkSession).write(rows, "scores")
-    pairs = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p"))
-    pairs = pairs.select("row", F.col("p.rare").alias("hash"), F.col("p.times").alias("times"))
+    pairs = rows.select("row", F.explode("rare").alias("hash"))
     joined = pairs.join(counts, "hash", "left")
-    seen = F.log10(F.coalesce("count", F.lit(0)) + F.lit(0.5)) * F.col("times")
     rare = joined.groupBy("row").agg(
-        F.sum(seen).alias("rare_score"),
-        F.sum(F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.log10(F.coalesce("count", F.lit(0)) + F.lit(0.5))).alias("rare_score"),
+        F.count("count").alias("rare_known"),
     )
-    all_rows = rows.drop("rare", "times").join(rare, "row", "left")
+    all_rows = rows.drop("rare").join(rare, "row", "left")
     more = F.coalesce("rare_score", F.lit(0.0))
     return all_rows.select(
         id_col,

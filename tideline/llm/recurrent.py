@@ -82,9 +82,16 @@ def gates(pre: np.ndarray, state: np.ndarray, recur: np.ndarray) -> tuple[np.nda
     return new, both, candidate, inner
 
 
-def _shares(logits: np.ndarray) -> np.ndarray:
+def _bounded(rows: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no exponential of rows . state + bias can overflow or vanish; states are within -1 and 1."""
+    reach = np.abs(rows).sum(axis=1)
+    return bool(len(bias) and (bias + reach).max() < 60 and (bias - reach).max() > -60)
+
+
+def _shares(logits: np.ndarray, bounded: bool) -> np.ndarray:
     """Softmax of each row, in place."""
-    logits -= logits.max(axis=1, keepdims=True)
+    if not bounded:
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
     return logits
@@ -94,9 +101,10 @@ def log_probabilities(weights: Weights, shape: Shape, states: np.ndarray, target
     """Natural logarithm of the class, and the word in it where it is a word, after each state."""
     classes = shape.class_of(targets)
     out = np.empty(len(targets), dtype=states.dtype)
+    bounded = _bounded(weights["class"].T, weights["class_bias"])
     for at in range(0, len(targets), _ROWS):
         part = slice(at, at + _ROWS)
-        out[part] = _log_share(states[part] @ weights["class"] + weights["class_bias"], classes[part])
+        out[part] = _log_share(states[part] @ weights["class"] + weights["class_bias"], classes[part], bounded)
     order = np.argsort(classes, kind="stable")
     cuts = np.searchsorted(classes[order], np.arange(shape.classes + 1))
     for number in range(shape.classes):
@@ -104,7 +112,8 @@ def log_probabilities(weights: Weights, shape: Shape, states: np.ndarray, target
         span = shape.span(number)
         if len(rows) and span.stop - span.start > 1:
             logits = states[rows] @ weights["word"][span].T + weights["word_bias"][span]
-            out[rows] += _log_share(logits, targets[rows] - span.start)
+            bounded = _bounded(weights["word"][span], weights["word_bias"][span])
+            out[rows] += _log_share(logits, targets[rows] - span.start, bounded)
     return out
 
 
@@ -112,48 +121,50 @@ def log_probabilities(weights: Weights, shape: Shape, states: np.ndarray, target
 _ROWS = 2_048
 
 
-def _log_share(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _log_share(logits: np.ndarray, own: np.ndarray, bounded: bool) -> np.ndarray:
     """Logarithm of each row's softmax at its own column."""
-    logits -= logits.max(axis=1, keepdims=True)
+    if not bounded:
+        logits -= logits.max(axis=1, keepdims=True)
     found = logits[np.arange(len(own)), own]
     np.exp(logits, out=logits)
     return found - np.log(logits.sum(axis=1))
 
 
-def score(weights: Weights, shape: Shape, texts: list[np.ndarray], end: int, rows: int = 512) -> np.ndarray:
+def score(weights: Weights, shape: Shape, texts: list[np.ndarray], end: int, rows: int = 4_096) -> np.ndarray:
     """Natural log-likelihood of each text of input numbers, its state carried from first to last."""
     hidden = weights["state"].shape[0]
     table = weights["embed"] @ weights["inner"] + weights["bias"]
     lengths = np.array([len(text) for text in texts])
+    firsts = np.cumsum(lengths) - lengths
+    tokens = np.concatenate([*texts, np.array([end])])
     order = np.argsort(-lengths, kind="stable")
     totals = np.zeros(len(texts))
     for at in range(0, len(order), rows):
         part = order[at : at + rows]
-        own = lengths[part]
+        own, first = lengths[part], firsts[part]
         state = np.zeros((len(part), hidden), dtype=np.float32)
         last = np.full(len(part), end, dtype=np.int64)
         begin = 0
         while begin < own[0]:
             alive = int((own > begin).sum())
-            span = min(max(1, 32_768 // alive), int(own[0]) - begin)
-            block = np.full((alive, span), end, dtype=np.int64)
-            filled = np.zeros((alive, span), dtype=bool)
-            for row in range(alive):
-                piece = texts[part[row]][begin : begin + span]
-                block[row, : len(piece)] = piece
-                filled[row, : len(piece)] = True
-            states = np.zeros((alive, span, hidden), dtype=np.float32)
-            state = state[:alive]
+            span = min(max(1, 65_536 // alive), int(own[0]) - begin)
+            left = np.minimum(own[:alive] - begin, span)
+            # A step holds the texts that are long enough for it, which are the first ones.
+            live = alive - np.searchsorted(left[::-1], np.arange(span), side="right")
+            ends = np.cumsum(live)
+            step_of = np.repeat(np.arange(span), live)
+            row_of = np.arange(ends[-1]) - np.repeat(ends - live, live)
+            targets = tokens[first[row_of] + begin + step_of]
+            states = np.empty((len(targets), hidden), dtype=np.float32)
+            state, previous = state[:alive], last[:alive]
             for step in range(span):
-                live = int(filled[:, step].sum())
-                previous = last[:live] if step == 0 else block[:live, step - 1]
-                state[:live] = gates(table[previous], state[:live], weights["state"])[0]
-                states[:live, step] = state[:live]
-            last = block[:, -1].copy()
-            flat = log_probabilities(weights, shape, states[filled], block[filled])
-            sums = np.zeros((alive, span))
-            sums[filled] = flat
-            totals[part[:alive]] += sums.sum(axis=1)
+                many, until = live[step], ends[step]
+                state[:many] = gates(table[previous[:many]], state[:many], weights["state"])[0]
+                states[until - many : until] = state[:many]
+                previous = targets[until - many : until]
+            last = tokens[first[:alive] + begin + left - 1]
+            found = log_probabilities(weights, shape, states, targets)
+            totals[part[:alive]] += np.bincount(row_of, found, alive)
             begin += span
     return totals
 
@@ -271,9 +282,8 @@ def _output_gradients(weights: Weights, shape: Shape, states: np.ndarray, target
     """Gradients of the mean negative log-likelihood for the output weights and the states."""
     count = len(targets)
     classes = shape.class_of(targets)
-    shares = _shares(states @ weights["class"] + weights["class_bias"])
+    shares = _shares(states @ weights["class"] + weights["class_bias"], _bounded(weights["class"].T, weights["class_bias"]))
     shares[np.arange(count), classes] -= 1
-    shares /= count
     back = shares @ weights["class"].T
     grads = {"class": states.T @ shares, "class_bias": shares.sum(axis=0)}
     grads["word"], grads["word_bias"] = np.zeros_like(weights["word"]), np.zeros_like(weights["word_bias"])
@@ -283,21 +293,23 @@ def _output_gradients(weights: Weights, shape: Shape, states: np.ndarray, target
         rows, span = order[cuts[number] : cuts[number + 1]], shape.span(number)
         if len(rows) and span.stop - span.start > 1:
             own, mine = weights["word"][span], states[rows]
-            shares = _shares(mine @ own.T + weights["word_bias"][span])
+            bias = weights["word_bias"][span]
+            shares = _shares(mine @ own.T + bias, _bounded(own, bias))
             shares[np.arange(len(rows)), targets[rows] - span.start] -= 1
-            shares /= count
             back[rows] += shares @ own
             grads["word_bias"][span] = shares.sum(axis=0)
             grads["word"][span] = shares.T @ mine
-    return grads, back
+    back /= count
+    return {name: grad / count for name, grad in grads.items()}, back
 
 
 def _adjust_rows(table: np.ndarray, squares: np.ndarray, at: np.ndarray, grads: np.ndarray) -> None:
     """Adaptive step for the rows of a table that have a gradient; rows may repeat."""
     if not len(at):
         return
-    order = np.argsort(at, kind="stable")
-    rows, starts = np.unique(at[order], return_index=True)
-    sums = np.add.reduceat(grads[order], starts, axis=0)
+    order = np.argsort(at.astype(np.uint16) if len(table) <= 1 << 16 else at, kind="stable")
+    sorted_ = at[order]
+    starts = np.flatnonzero(np.diff(sorted_, prepend=sorted_[0] - 1))
+    rows, sums = sorted_[starts], np.add.reduceat(grads[order], starts, axis=0)
     squares[rows] += (sums**2).mean(axis=1)
     table[rows] -= RATE_ROWS * sums / np.sqrt(squares[rows])[:, None]

@@ -41,7 +41,7 @@ TAIL_CLASSES = 64
 HELD = 131_072
 SHARD_TOKENS = 4_000_000
 #: Tokens that a shard learns from at a time.
-SEGMENT_TOKENS = 1 << 18
+SEGMENT_TOKENS = 1 << 19
 ROUNDS = 4
 FAN_IN = 64
 FOLDS, HELD_OUT = 5, 1

@@ -308,6 +308,25 @@ def edit_similarity(one, two):
     return 1 - row[-1] / max(len(one), len(two))
 
 
+def test_the_gram_filter_keeps_every_similar_pair():
+    draw = random.Random(8)
+    ones, twos = [], []
+    for _ in range(400):
+        line = "".join(draw.choice("abcde é") for _ in range(draw.randrange(1, 300)))
+        other = list(line)
+        for _ in range(draw.randrange(0, max(1, len(line) // 3))):
+            at = draw.randrange(len(other) + 1)
+            other[at : at + draw.randrange(2)] = draw.choice(["", "x", "a"])
+        ones.append(line)
+        twos.append("".join(other) or "x")
+    ones += [f"{i} is a line of its own with number {i * i}" for i in range(100)]
+    twos += ["".join(draw.choice("abcdefghij ") for _ in range(40)) for _ in range(100)]
+    fits = line_dedup.gram_filter(ones, twos, 0.8)
+    near = [line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in zip(ones, twos, strict=True)]
+    assert sum(near) > 100 and not (np.array(near) & ~fits).any()
+    assert not fits[-100:].any()
+
+
 def test_line_groups_equal_brute_force(spark):
     draw = random.Random(7)
     vocabulary = ["".join(draw.choices("abcdefghijklmnop", k=draw.randrange(2, 11))) for _ in range(3000)]
@@ -548,3 +567,57 @@ def test_averages_weigh_tokens(spark):
     rows = [(0, 0, 1, [1.0, 2.0]), (0, 0, 3, [5.0, 2.0]), (1, 0, 2, [4.0])]
     frame = spark.createDataFrame(rows, "block int, part int, tokens long, weights array<float>")
     assert sorted(tuple(r) for r in language_model._averaged(frame).collect()) == [(0, 0, 4, [4.0, 2.0]), (1, 0, 2, [4.0])]
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.01, 1.0, 0.0], 0)]
+    rows += [(4, [0.0, 0.0, 1.0], 0), (4, [0.0, 0.0, 1.0], 1), (5, [0.0, 0.01, 1.0], 1), (5, [0.0, 0.01, 1.0], 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = sorted(tuple(r) for r in embedding_dedup.embedding_components(vectors).collect())
+    expected = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    expected += [(4, 0, 4, True), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False)]
+    assert found == expected
+
+
+def test_links_at_the_bound(spark):
+    """A cosine of exactly the bound links, and a bound of the next larger double does not."""
+    rows = [(7, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (9, [3.0, 4.0], 0), (11, [-1.0, 0.0], 0), (5, [-4.0, -3.0], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+    def found(bound):
+        return {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.embedding_components(vectors, bound).collect()}
+
+    apart = {11: (1, 5, False), 5: (1, 5, True)}
+    assert found(0.6) == {7: (2, 3, False), 3: (2, 3, True), 9: (2, 3, False)} | apart
+    assert found(np.nextafter(0.6, 1)) == {7: (1, 3, False), 3: (1, 3, True), 9: (0, 9, True)} | apart
+
+
+def test_labelled_rows_bound_what_is_learned(spark):
+    docs = queries.table(spark, MIDDLE, "documents")
+    labels = queries.table(spark, MIDDLE, "labels")
+    every = toxicity.fit_toxicity(docs, labels)
+    some = toxicity.fit_toxicity(docs, labels, labelled_rows=150)
+    assert every.grams and 0 < len(some.grams) < len(every.grams)
+
+
+def test_licences_and_their_sql_follow_one_rule(spark, tmp_path):
+    """Titled, re-wrapped, dated and unknown texts, in both engines."""
+    import duckdb
+
+    from tideline.llm.oracle import LLM_ORACLE
+
+    texts = []
+    for name, text in [*LICENCES, *more_licences()]:
+        texts += [text, f"The {name} License\n\n{text}", textwrap.fill(text, 61), " ".join(text.split()), text.upper()]
+        texts += [f"Copyright (c) 2019 Some Body\n{text}", f"{text}\nand one more condition", text.replace("license", "licence")]
+    texts += ["Copyright treaty of 1996 applies", "copyright holders 2001 said so", "© me\nAll rights reserved.", "", None, " \n", "MIT License"]
+    texts += ["This work is released under the terms of the MIT License.\nSPDX-License-Identifier: MIT\nSPDX-License-Identifier: 0BSD"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op5_licences(spark, str(tmp_path)).collect()
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cursor = connection.execute(LLM_ORACLE["op5_licences"])
+    names = [c[0] for c in cursor.description]
+    assert sorted((tuple(r[n] for n in names) for r in found), key=repr) == sorted(cursor.fetchall(), key=repr)
+    assert sum(r["licence"] is not None for r in found) > 5 * len(LICENCES)

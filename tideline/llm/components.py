@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.plans.storage import shared_folder, written
+from tideline.plans.storage import Scratch
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -20,19 +20,20 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     dropped; an empty table gives an empty one.
     """
     spark = edges.sparkSession
-    folder = shared_folder(spark)
+    scratch = Scratch(spark)
     current = (
         edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
         .where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("a") != F.col("b")))
         .distinct()
     )
-    current, before, turn = written(current, f"{folder}/edges-0"), None, 0
+    current, before, turn = scratch.write(current, "edges-0"), None, 0
     while True:
         state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before or state[0] == 0:
             break
         before, turn = state, turn + 1
-        current = written(_small_star(_large_star(current)), f"{folder}/edges-{turn}")
+        current = scratch.write(_small_star(_large_star(current)), f"edges-{turn}")
+        scratch.drop(f"edges-{turn - 1}")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 

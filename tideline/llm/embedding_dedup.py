@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.components import connected_components
 from tideline.llm.neighbours import usable
-from tideline.plans.storage import shared_folder, written
+from tideline.plans.storage import Scratch
 
 COSINE = 0.98
 SAMPLE_ROWS = 20_000
@@ -110,7 +110,7 @@ def embedding_components(
     table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    folder = shared_folder(spark)
+    scratch = Scratch(spark)
     vector = F.col(vector_col).cast("array<double>")
     rows = vectors.select(
         F.col(id_col).alias("id"),
@@ -121,34 +121,38 @@ def embedding_components(
     )
     able = rows.where("linked")
     classes = able.groupBy("label", "digest").agg(
-        F.min("id").cast("long").alias("class"), F.count("*").alias("size"), F.min("vector").alias("vector")
+        F.min("id").cast("long").alias("least"), F.count("*").alias("size"), F.min("vector").alias("vector")
     )
+    # Ids may repeat, so a class has a number of its own, fixed as the table is written.
+    classes = classes.withColumn("class", F.monotonically_increasing_id())
     largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
     classes = classes.withColumn("vector", F.transform("vector", lambda x: x / largest))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
-    classes = written(classes.withColumn("norm", norm), f"{folder}/classes")
-    sample = classes.orderBy(F.xxhash64("class"), "class").limit(sample_rows).select("vector", "norm").collect()
+    classes = scratch.write(classes.withColumn("norm", norm), "classes")
+    sample = classes.orderBy(F.xxhash64("label", "digest"), "digest").limit(sample_rows).select("vector", "norm").collect()
     if len(sample) < 2:
         links = spark.createDataFrame([], "class long, class2 long")
     else:
         learned = np.array([r["vector"] for r in sample]) / np.array([r["norm"] for r in sample])[:, None]
-        coded = written(_coded(classes, *learned_rotation(learned)), f"{folder}/codes")
-        links = _linked(written(_meeting_pairs(coded), f"{folder}/pairs"), classes, cosine)
-    links = written(links, f"{folder}/links")
+        coded = scratch.write(_coded(classes, *learned_rotation(learned)), "codes")
+        links = _linked(scratch.write(_meeting_pairs(coded), "pairs"), classes, cosine)
+    links = scratch.write(links, "links")
+    if len(sample) >= 2:
+        scratch.drop("codes", "pairs")
     both = links.union(links.select("class2", "class"))
     sizes = classes.select(F.col("class").alias("class2"), "size")
     counts = both.join(sizes, "class2").groupBy("class").agg(F.sum("size").alias("others"))
     roots = connected_components(links, "class", "class2")
-    named = (
-        classes.select("label", "digest", "class", "size")
+    placed = (
+        classes.select("label", "digest", "class", "size", "least")
         .join(counts, "class", "left")
         .join(roots, F.col("class") == F.col("node"), "left")
-        .select(
-            "label",
-            "digest",
-            (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"),
-            F.coalesce("root", "class").alias("component_id"),
-        )
+        .withColumn("root", F.coalesce("root", "class"))
+    )
+    placed = scratch.write(placed.drop("node"), "placed")
+    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed.join(names, "root").select(
+        "label", "digest", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id"
     )
     found = able.select("id", "label", "digest").join(named, ["label", "digest"]).select(
         "id", "n_links", "component_id"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tideline.llm.licence_texts import LICENCES, NOTICES, SPELLINGS
+from tideline.llm.licence_texts import OPENING, SPELLINGS
+from tideline.llm.licences import all_licences
 
 
 def _quoted(text: str) -> str:
@@ -10,22 +11,36 @@ def _quoted(text: str) -> str:
 
 
 def _canonical(text: str) -> str:
-    """SQL for the normalised form of a text; lines of copyright are blanked, not dropped."""
-    mark = r"[^\pL\pN\n]*"
-    lines = f"regexp_replace(lower({text}), '(?m)^{mark}(copyright|\\(c\\)|©).*$|^{mark}all rights reserved{mark}$', '', 'g')"
+    """SQL for the normalised form of a text: lines of copyright and titles left out, then letters and digits."""
+    mark = r"^[^\pL\pN]*"
+    holder = rf"{mark}(copyright[^\pL\pN]*(\(c\)|©|<year>|\[?yyyy|(19|20)\d\d|by )|\(c\)[^\pL\pN]*(copyright|(19|20)\d\d)|©)"
+    dated = rf"regexp_matches(l, '{mark}copyright .*\b(19|20)\d\d\b') AND NOT regexp_matches(l, '{mark}copyright treaty')"
+    names = "mit|expat|isc|zlib|zlib/libpng|(new |modified |simplified )?bsd|bsd[- ][23][- ]clause"
+    title = (
+        rf"{mark}(the )?({names})([^\pL\pN]*(new|revised|simplified|or))*[^\pL\pN]*licen[cs]e"
+        r"([^\pL\pN]*(mit|isc|zlib|bsd[- ][23][- ]clause))?[^\pL\pN]*$"
+    )
+    reserved = rf"{mark}all rights reserved[^\pL\pN]*$"
+    out = f"regexp_matches(l, '{holder}|{reserved}|{title}') OR ({dated})"
+    lines = f"array_to_string(list_filter(string_split(lower({text}), chr(10)), lambda l: NOT ({out})), ' ')"
     plain = f"' ' || regexp_replace({lines}, '[^\\pL\\pN]+', ' ', 'g') || ' '"
     for found, one in SPELLINGS:
         plain = f"replace({plain}, ' {found} ', ' {one} ')"
     return f"trim(regexp_replace({plain}, ' +', ' ', 'g'))"
 
 
-_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in LICENCES + NOTICES)
+def _key(plain: str) -> str:
+    """SQL for the digest that is looked up."""
+    return f"md5(regexp_replace({plain}, '{OPENING}', 'licensed under '))"
+
+
+_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in all_licences())
 
 _LICENCES = f"""
 WITH known AS (
-    SELECT md5({_canonical("t")}) AS digest, min(l) AS licence FROM (VALUES {_KNOWN}) AS v(l, t) GROUP BY 1
+    SELECT {_key("c")} AS digest, min(l) AS licence FROM (SELECT l, {_canonical("t")} AS c FROM (VALUES {_KNOWN}) AS v(l, t)) GROUP BY 1
 ), lines AS (
-    SELECT doc_id, md5(c) AS digest
+    SELECT doc_id, {_key("c")} AS digest
     FROM (SELECT doc_id, {_canonical("line")} AS c
           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
     WHERE c <> ''
@@ -33,9 +48,9 @@ WITH known AS (
     SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS notice_lines
     FROM lines JOIN known USING (digest) GROUP BY doc_id
 ), wholes AS (
-    SELECT doc_id, md5({_canonical("text")}) AS digest FROM documents
+    SELECT doc_id, c, {_key("c")} AS digest FROM (SELECT doc_id, {_canonical("text")} AS c FROM documents)
 )
-SELECT w.doc_id, w.digest, CASE WHEN w.digest <> md5('') THEN k.licence END AS licence,
+SELECT w.doc_id, md5(w.c) AS digest, CASE WHEN w.c <> '' THEN k.licence END AS licence,
        coalesce(n.notices, '') AS notices, coalesce(n.notice_lines, 0) AS notice_lines
 FROM wholes w LEFT JOIN known k USING (digest) LEFT JOIN notices n ON n.doc_id = w.doc_id
 """

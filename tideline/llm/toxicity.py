@@ -36,8 +36,9 @@ GRAM = 5
 PRIOR_DOCS = 50.0
 Z_LEAST = 2.5
 DRIFT = 1.0
-#: The model's size: n-grams of largest z that are kept, at most.
-MOST_GRAMS = 100_000
+#: Labelled documents that are learned from, at most, up to the chance of a hash: the smallest
+#: hashes of ids. It bounds the lexicon that tasks hold; all else covers every document.
+LABELLED_ROWS = 2_000_000
 #: A passage is reported if fewer than this many as good are expected in an ordinary text.
 E_MOST = 0.05
 FOLDS = 4
@@ -130,8 +131,10 @@ def fit_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    labelled_rows: int = LABELLED_ROWS,
 ) -> ToxicityModel:
-    """Learns from every labelled document that is not held out (crc32 of the id modulo 4 is 2).
+    """Learns from the labelled documents that are not held out (crc32 of the id modulo 4 is 2), all
+    of them up to about ``labelled_rows``.
 
     Null labels, ids and texts teach nothing; the label of repeated ids and texts is
     1 if any of them has it. Without documents of both labels nothing is toxic.
@@ -141,6 +144,11 @@ def fit_toxicity(
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     known = known.where(fold(F.col(id_col), FOLDS) != HELD_OUT)
+    many = known.count()
+    if many > labelled_rows:
+        known = known.where(F.pmod(F.xxhash64(F.lit("learn"), id_col), F.lit(many)) < labelled_rows)
+    # The fold left out is known from the id, so its documents need not be shuffled.
+    docs = docs.where(fold(F.col(id_col), FOLDS) != HELD_OUT)
     hashes = docs.where(F.col(text_col).isNotNull()).select(id_col, F.xxhash64(text_col).alias("hash"))
     once = hashes.join(known, id_col).groupBy("hash").agg(F.min(id_col).alias(id_col), F.max("toxic").alias("toxic"))
     texts = docs.select(id_col, F.col(text_col).alias("text")).join(once.select(id_col, "toxic"), id_col)
@@ -202,10 +210,8 @@ def _lexicon(counts: DataFrame, totals: dict, out: int | None) -> dict[str, floa
         (odds(a, toxic_docs) - odds(b, other_docs)).alias("odds"),
         F.sqrt(1 / a + 1 / b).alias("error"),
     )
-    best = scored.where(F.col("odds") >= Z_LEAST * F.col("error")).orderBy(
-        (F.col("odds") / F.col("error")).desc(), "gram"
-    )
-    return {r["gram"]: r["odds"] for r in best.limit(MOST_GRAMS).collect()}
+    best = scored.where(F.col("odds") >= Z_LEAST * F.col("error"))
+    return {r["gram"]: r["odds"] for r in best.collect()}
 
 
 def _learning_scans(learn: DataFrame, lexicons: dict) -> DataFrame:

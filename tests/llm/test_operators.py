@@ -323,6 +323,9 @@ def test_the_gram_filter_keeps_every_similar_pair():
     twos += ["".join(draw.choice("abcdefghij ") for _ in range(40)) for _ in range(100)]
     fits = line_dedup.gram_filter(ones, twos, 0.8)
     near = [line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in zip(ones, twos, strict=True)]
+    assert near == [line_dedup.near_pair(a, b, 0.8) for a, b in zip(ones, twos, strict=True)]
+    for a, b in zip(ones, twos, strict=True):
+        assert line_dedup.edits_found(a, b, 10_000) >= line_dedup.edit_distance(a, b)
     assert sum(near) > 100 and not (np.array(near) & ~fits).any()
     assert not fits[-100:].any()
 

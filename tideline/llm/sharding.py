@@ -6,7 +6,9 @@ of the other, until one is left. Groups are dealt by hash to tasks of about
 TASK_ROWS groups, each of which differences its own. A group that is large against
 a whole task could not be made up for there; such groups, at most one in
 TASK_ROWS / (4 * shards), are assigned first, by the same rule, and every task starts
-from its share of what they put on the shards, so that the small groups fill up.
+from its share of what they put on the shards, so that the small groups fill up. One task
+comes last: it starts from the sizes that all others reached, as the partial partition of largest
+spread, so that what the tasks leave is made up for as in a single pass.
 """
 
 from __future__ import annotations
@@ -71,17 +73,45 @@ def _dealt(groups: DataFrame, shards: int, tasks: int, start: list[int], total:
     def combine(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["size", "item"], kind="stable")
         own = frame["size"].to_numpy(dtype=np.int64)
-        sizes = np.zeros((len(own) + 1, shards), dtype=np.int64)
-        sizes[0] = [int(already * int(own.sum()) // max(1, total)) for already in start]
-        sizes[1:, 0] = own
+        load = np.array([int(already * int(own.sum()) // max(1, total)) for already in start], dtype=np.int64)
+        open_, filling = _filled(load, own)
+        rest = len(own) - len(filling)
+        sizes = np.zeros((rest + 1, len(open_)), dtype=np.int64)
+        sizes[0] = load[open_]
+        sizes[1:, 0] = own[:rest]
         parts, _ = differenced(sizes)
-        label = np.argsort(parts[0])
-        return pd.DataFrame({"item": frame["item"], "size": own, "shard": label[parts[1:, 0]]})
+        label = open_[np.argsort(parts[0])]
+        shard = np.concatenate([label[parts[1:, 0]], np.array(filling[::-1], dtype=np.int64)])
+        return pd.DataFrame({"item": frame["item"], "size": own, "shard": shard})
 
     dealt = groups.withColumn("task", F.pmod(F.xxhash64("item"), F.lit(tasks)))
     return dealt.groupBy("task").applyInPandas(combine, "item string, size long, shard int")
 
 
+def _filled(load: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """(shards that are still to be filled, shard of each of the largest groups that fill one alone, largest first).
+
+    A shard above the mean of those to be filled gets nothing more, and a group above it gets a
+    shard of its own, as long as several are left. Otherwise their spread would be the largest in every
+    step and the others would only be dealt out in turn. ``own`` is in rising order.
+    """
+    open_, filling = list(range(len(load))), []
+    rest = int(own.sum())
+    while len(open_) > 1:
+        mean = (int(load[open_].sum()) + rest) / len(open_)
+        fullest = max(open_, key=lambda shard: load[shard])
+        if load[fullest] > mean:
+            open_.remove(fullest)
+        elif len(filling) < len(own) and own[-1 - len(filling)] > mean:
+            emptiest = min(open_, key=lambda shard: load[shard])
+            rest -= int(own[-1 - len(filling)])
+            filling.append(emptiest)
+            open_.remove(emptiest)
+        else:
+            break
+    return np.array(open_, dtype=np.int64), filling
+
+
 def balanced_groups(groups: DataFrame, shards: int = SHARDS, task_rows: int = TASK_ROWS) -> DataFrame:
     """(item, size, shard) for groups given as (item string, size long), which is read several times."""
     task_rows = max(task_rows, 8 * shards)
@@ -93,10 +123,18 @@ def balanced_groups(groups: DataFrame, shards: int = SHARDS, task_rows: int = TA
     least = total // (4 * shards * tasks)
     large = balanced_groups(groups.where(F.col("size") > least), shards, task_rows)
     large = written(large, f"{folder}/large")
-    start = {r["shard"]: r["size"] for r in large.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
-    already = [start.get(shard, 0) for shard in range(shards)]
+    already = _reached(large, shards)
     small = groups.where(F.col("size") <= least)
-    return large.union(_dealt(small, shards, tasks, already, total - sum(already)))
+    last = F.pmod(F.xxhash64(F.lit("last"), "item"), F.lit(tasks)) == 0
+    most = _dealt(small.where(~last), shards, tasks, already, total - sum(already))
+    most = written(large.union(most), f"{folder}/most")
+    reached = _reached(most, shards)
+    return most.union(_dealt(small.where(last), shards, 1, reached, total - sum(reached)))
+
+
+def _reached(dealt: DataFrame, shards: int) -> list[int]:
+    sums = {r["shard"]: r["size"] for r in dealt.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+    return [sums.get(shard, 0) for shard in range(shards)]
 
 
 def shard_documents(

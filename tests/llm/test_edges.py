@@ -76,6 +76,32 @@ def test_odd_rows(spark, name):
         assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_values_of_odd_rows(spark):
+    docs = documents(spark, ROWS)
+    texts = {i: text or "" for i, text, *_ in ROWS}
+    mixed = {r["mix_id"]: r for r in OPERATORS["mixing"](spark, docs).collect()}
+    assert {i: r["mix_size"] for i, r in mixed.items()} == {i: len(text.split()) for i, text in texts.items()}
+    assert all(0 <= r["mix_taken"] <= 2 * r["mix_size"] for r in mixed.values())
+    shards = OPERATORS["sharding"](spark, docs).collect()
+    assert sorted((r["size"], r["text_crc32"] is None) for r in shards) == sorted(
+        (len((row[1] or "").encode()) + 1, row[1] is None) for row in ROWS
+    )
+    assert len({r["shard"] for r in shards if r["doc_id"] == 1}) == 1
+    assert sorted((r["shard"], r["slot"]) for r in shards) == sorted({(r["shard"], r["slot"]) for r in shards})
+    packed = OPERATORS["packing"](spark, docs).collect()
+    lengths = {}
+    for r in packed:
+        lengths.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+    assert set(lengths) == set(texts)
+    assert lengths[2] == lengths[3] == [(0, 0, 1)] and len(lengths[1]) == 2 and len(set(lengths[1])) == 1
+    long = sorted(lengths[5])
+    assert [start for _, start, _ in long] == [4096 * i for i in range(len(long))] and len(long) > 1
+    scored = {r["doc_id"]: r for r in OPERATORS["language_model"](spark, docs).collect()}
+    assert {i: r["n_tokens"] for i, r in scored.items()} == {i: len(text.split()) + 1 for i, text in texts.items()}
+    assert all(r["score"] < 0 and r["base_score"] < 0 for r in scored.values())
+    assert all(r["licence"] is None for r in OPERATORS["licences"](spark, docs).collect())
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_empty_tables(spark, name):
     assert OPERATORS[name](spark, documents(spark, [])).collect() == []

@@ -179,6 +179,25 @@ def test_shards_are_balanced_and_keep_groups(spark):
     assert max(bytes_of.values()) - min(bytes_of.values()) <= 0.02 * sum(bytes_of.values()) / 16
 
 
+@pytest.mark.parametrize("hot", [0, 3_000_000])
+def test_shards_of_many_tasks_are_as_even_as_those_of_one(spark, hot):
+    draw = random.Random(6)
+    sizes = [int(draw.lognormvariate(7, 1)) + 1 for _ in range(6_000)] + [hot] * bool(hot)
+    groups = spark.createDataFrame([(str(i), n) for i, n in enumerate(sizes)], "item string, size long")
+
+    def spread(task_rows):
+        found = sharding.balanced_groups(groups, 16, task_rows).collect()
+        assert sorted(r["item"] for r in found) == sorted(str(i) for i in range(len(sizes)))
+        total = [0] * 16
+        for r in found:
+            total[r["shard"]] += r["size"]
+        total = sorted(total)[:-1] if hot else total
+        return max(total) - min(total)
+
+    one = spread(10_000)
+    assert spread(1_000) <= max(one, 2)
+
+
 def test_differencing_halves_the_classic_example():
     parts, sizes = sharding.differenced(np.array([[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]]))
     own = parts[:, 0]
@@ -429,6 +448,40 @@ def test_neighbours_reach_the_recall(spark):
     assert hits >= 0.9 * 20 * len(asked)
 
 
+def recall(found, ids, points, asked, most):
+    hits = 0
+    for query in asked:
+        scores = points @ points[ids == query][0]
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != query][:most]
+        hits += len(set(found[query]) & set(ids[order].tolist()))
+    return hits / (most * len(asked))
+
+
+def test_neighbours_of_several_shards(spark):
+    draw = np.random.default_rng(8)
+    points = draw.standard_normal((6_000, 24)) + 2 * draw.standard_normal((30, 24))[draw.integers(30, size=6_000)]
+    ids = np.arange(6_000)
+    vectors = spark.createDataFrame(list(zip(ids.tolist(), points.tolist())), "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), shard_rows=1_200).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert recall(found, ids, points, ids[ids % 20 == 0].tolist(), 20) >= 0.95
+
+
+def test_a_graph_built_by_walks_reaches_every_node():
+    draw = np.random.default_rng(9)
+    points = draw.standard_normal((3_000, 16)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    graph = neighbours.SmallWorld(points)
+    for at, table in enumerate(graph.links):
+        assert table.max() < len(table) and not (table == np.arange(len(table))[:, None]).any(), at
+        assert all(len(set(row[row >= 0])) == (row >= 0).sum() for row in table), at
+    found = graph.search(points, 1)[:, 0]
+    assert (found == np.arange(3_000)).mean() >= 0.999
+    assert neighbours.SmallWorld(points[:0]).search(points[:3], 2).tolist() == [[-1, -1]] * 3
+    assert neighbours.SmallWorld(points[:1]).search(points[:1], 2).tolist() == [[0, -1]]
+
+
 def test_equal_and_longer_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(30)] + [(100, [3.0, 0.1]), (101, [-1.0, 0.0]), (102, [0.0, 0.0])]
     rows += [(103, None), (104, [float("nan"), 1.0]), (105, [None, 1.0]), (None, [9.0, 9.0]), (100, [3.0, 0.1])]

@@ -3,12 +3,12 @@
 Distinct vectors are dealt by hash to shards of about SHARD_ROWS. Each shard builds a
 hierarchical navigable small-world graph (Malkov and Yashunin 2018) that is stored as flat
 arrays: vectors in order of falling level, and for each level a table of neighbour numbers
-with a fixed number of columns. As a shard is bounded, the candidates for a new node's links
-are its nearest among all nodes before it on that level, by block products, not by walks. A vector is divided by the largest norm and given one more
-component that makes its length 1, so that the nearest by angle is the one of largest inner
+with a fixed number of columns. A new node descends through the graph built so far and links to
+a spread of the nodes that its walk found. A vector is divided by the largest norm and given one
+more component that makes its length 1, so that the nearest by angle is the one of largest inner
 product. Insertions and searches run in blocks, all rows of a block taking a step at a time.
-Every query goes to every shard; the shards' best are rescored in double precision on the
-original vectors and merged.
+Every shard is a partition of its own. Every query goes to every shard; the shards' best are
+rescored in double precision on the original vectors and merged.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from tideline.plans.storage import shared_folder, written
 
 SHARD_ROWS = 16_384
 LINKS = 24
-BUILD_WIDTH = 100
+BUILD_WIDTH = 64
 SEARCH_WIDTH = 200
 BLOCK = 512
+#: Nodes of each row whose neighbours a step of a walk looks at.
+STEP = 4
 SEED = 97
 
 
@@ -45,33 +47,43 @@ class SmallWorld:
         for level in range(int(ranked[0]) + 1 if count else 0):
             members = int((ranked >= level).sum())
             self.links.append(np.full((members, links * 2 if level == 0 else links), -1, dtype=np.int32))
-        for level in range(len(self.links) - 1, -1, -1):
-            self._build(level, links, width)
-
-    def _build(self, level: int, links: int, width: int) -> None:
-        table = self.links[level]
         done = 0
-        while done < len(table):
-            size = min(BLOCK, max(16, done), len(table) - done)
-            own = np.arange(done, done + size)
-            queries = self.points[own]
-            near = queries @ queries.T
-            np.fill_diagonal(near, -np.inf)
-            keep = min(size, links * 2)
-            ids = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-            likes = np.take_along_axis(near, ids, axis=1)
-            ids = np.where(np.isinf(likes), -1, ids + done)
-            if done:
-                before = queries @ self.points[:done].T
-                keep = min(width, done)
-                found = np.argpartition(-before, keep - 1, axis=1)[:, :keep]
-                ids = np.hstack([ids, found])
-                likes = np.hstack([likes, np.take_along_axis(before, found, axis=1)])
-            chosen, chosen_likes = self._spread(ids, likes, links)
-            table[own, :links] = chosen
-            self._link_back(table, own, chosen, chosen_likes)
+        while done < count:
+            size = min(BLOCK, max(16, done), count - done)
+            self._insert(done, size, links, width)
             done += size
 
+    def _insert(self, done: int, size: int, links: int, width: int) -> None:
+        """Inserts the next ``size`` nodes after the first ``done``, on all their levels.
+
+        Every node descends from node 0, greedily above its own levels; on these, its links are spread over the
+        ``width`` nodes that its walk found and its nearest in the block, which no walk can meet yet.
+        """
+        own = np.arange(done, done + size)
+        queries = self.points[own]
+        near = queries @ queries.T
+        np.fill_diagonal(near, -np.inf)
+        entry = np.zeros(size, dtype=np.int64)
+        for level in range(len(self.links) - 1, -1, -1):
+            table = self.links[level]
+            before, here = min(done, len(table)), max(0, min(size, len(table) - done))
+            found = np.zeros((here, 0), dtype=np.int64)
+            found_likes = np.zeros((here, 0), dtype=np.float32)
+            if done and here:
+                found, found_likes = self._walk(queries[:here], entry[:here], level, width, before)
+                entry[:here] = found[:, 0]
+            if done and here < size:
+                entry[here:] = self._walk(queries[here:], entry[here:], level, 1, before)[0][:, 0]
+            if here:
+                keep = min(here, links * 2)
+                ids = np.argpartition(-near[:here, :here], keep - 1, axis=1)[:, :keep]
+                likes = np.take_along_axis(near[:here], ids, axis=1)
+                ids = np.where(np.isinf(likes), -1, ids + done)
+                ids, likes = np.hstack([ids, found]), np.hstack([likes, found_likes])
+                chosen, chosen_likes = self._spread(ids, likes, links)
+                table[own[:here], :links] = chosen
+                self._link_back(table, own[:here], chosen, chosen_likes)
+
     def _entries(self, queries: np.ndarray, level: int) -> np.ndarray:
         """Where to enter ``level``: the nearest node that a greedy walk meets on the levels above."""
         entry = np.zeros(len(queries), dtype=np.int64)
@@ -84,34 +96,41 @@ class SmallWorld:
     ) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` best nodes found for each query, best first, and their likeness; -1 fills up."""
         rows, table = len(queries), self.links[level]
-        seen = np.zeros((rows, members), dtype=bool)
+        at_once = min(width, STEP)
+        # The number of the step's column that reached a node first, from 1.
+        seen = np.zeros((rows, members), dtype=np.int16)
         ids = np.full((rows, width), -1, dtype=np.int64)
         likes = np.full((rows, width), -np.inf, dtype=np.float32)
         spent = np.ones((rows, width), dtype=bool)
         ids[:, 0], spent[:, 0] = entry, False
         likes[:, 0] = np.einsum("ij,ij->i", queries, self.points[entry])
-        seen[np.arange(rows), entry] = True
+        seen[np.arange(rows), entry] = 1
         active = np.arange(rows)
         while True:
-            open_likes = np.where(spent[active], -np.inf, likes[active])
-            first = np.argmax(open_likes, axis=1)
-            going = open_likes[np.arange(len(active)), first] > -np.inf
-            active, first = active[going], first[going]
+            active = active[~spent[active].all(axis=1)]
             if not len(active):
                 break
-            spent[active, first] = True
-            next_ids = table[ids[active, first]]
-            new = (next_ids >= 0) & ~seen[active[:, None], next_ids]
-            row, column = np.nonzero(new)
+            open_likes = np.where(spent[active], -np.inf, likes[active])
+            steps = np.argpartition(-open_likes, at_once - 1, axis=1)[:, :at_once]
+            closed = np.isinf(np.take_along_axis(open_likes, steps, axis=1))
+            spent[active[:, None], steps] = True
+            next_ids = table[ids[active[:, None], steps]]
+            next_ids[closed] = -1
+            next_ids = next_ids.reshape(len(active), -1)
+            row, column = np.nonzero((next_ids >= 0) & (seen[active[:, None], next_ids] == 0))
             node = next_ids[row, column]
-            seen[active[row], node] = True
+            seen[active[row], node] = column + 1
+            own = seen[active[row], node] == column + 1
+            row, column, node = row[own], column[own], node[own]
+            new_ids = np.full(next_ids.shape, -1, dtype=np.int64)
+            new_ids[row, column] = node
             likeness = np.full(next_ids.shape, -np.inf, dtype=np.float32)
             likeness[row, column] = np.einsum("ij,ij->i", queries[active[row]], self.points[node])
             pool = np.hstack([likes[active], likeness])
             best = np.argpartition(-pool, width - 1, axis=1)[:, :width]
             likes[active] = np.take_along_axis(pool, best, axis=1)
-            ids[active] = np.take_along_axis(np.hstack([ids[active], np.where(new, next_ids, -1)]), best, axis=1)
-            spent[active] = np.take_along_axis(np.hstack([spent[active], ~new]), best, axis=1)
+            ids[active] = np.take_along_axis(np.hstack([ids[active], new_ids]), best, axis=1)
+            spent[active] = np.take_along_axis(np.hstack([spent[active], new_ids < 0]), best, axis=1)
         order = np.argsort(-likes, axis=1, kind="stable")
         return np.take_along_axis(ids, order, axis=1), np.take_along_axis(likes, order, axis=1)
 
@@ -231,7 +250,7 @@ def nearest(
     sent = asked.select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vector"
     )
-    rows = stored.union(sent).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
+    rows = stored.union(sent).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "id")
     scale = largest or 1.0
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -327,7 +327,7 @@ def edit_similarity(one, two):
     return 1 - row[-1] / max(len(one), len(two))
 
 
-def test_the_gram_filter_keeps_every_similar_pair():
+def test_the_piece_filter_keeps_every_similar_pair():
     draw = random.Random(8)
     ones, twos = [], []
     for _ in range(400):
@@ -340,9 +340,12 @@ def test_the_gram_filter_keeps_every_similar_pair():
         twos.append("".join(other) or "x")
     ones += [f"{i} is a line of its own with number {i * i}" for i in range(100)]
     twos += ["".join(draw.choice("abcdefghij ") for _ in range(40)) for _ in range(100)]
-    fits = line_dedup.gram_filter(ones, twos, 0.8)
+    fits = line_dedup.piece_filter(ones, twos, 0.8)
     near = [line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in zip(ones, twos, strict=True)]
     assert near == [line_dedup.near_pair(a, b, 0.8) for a, b in zip(ones, twos, strict=True)]
+    assert near == line_dedup.near_pairs(ones, twos, 0.8).tolist()
+    assert line_dedup.near_pairs(["é" * 5_000, "", "漢字"], ["é" * 4_500, "", "字"], 0.8).tolist() == [True, True, False]
+    assert not len(line_dedup.near_pairs([], [], 0.8))
     for a, b in zip(ones, twos, strict=True):
         assert line_dedup.edits_found(a, b, 10_000) >= line_dedup.edit_distance(a, b)
     assert sum(near) > 100 and not (np.array(near) & ~fits).any()

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from plans import planned
 
-from tideline.llm import packing, queries
+from tideline.llm import licences, packing, queries
 
 
 def test_words_learned_are_shared_and_bounded(monkeypatch):
@@ -28,3 +29,10 @@ def test_words_learned_are_shared_and_bounded(monkeypatch):
         assert (frequent[b"the"], frequent[b"%d" % at]) == (b"the", b"%d" % at)
         assert len(frequent) + len(frequent.older) <= 2 * 22
     assert asked.count(b"the") == 1
+
+
+def test_known_licences_start_no_python(spark):
+    known = licences.known_licences(spark)
+    assert "ExistingRDD" not in planned(known) and "Python" not in planned(known)
+    assert {r["licence"] for r in known.collect()} == {name for name, _ in licences.LICENCES + licences.NOTICES}
+    assert licences.known_licences(spark, ()).count() == 0

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from plans import planned
 
-from tideline.llm import licences, packing, queries
+from tideline.llm import language_model, licences, packing, queries, recurrent
 
 
 def test_words_learned_are_shared_and_bounded(monkeypatch):
@@ -36,3 +36,27 @@ def test_known_licences_start_no_python(spark):
     assert "ExistingRDD" not in planned(known) and "Python" not in planned(known)
     assert {r["licence"] for r in known.collect()} == {name for name, _ in licences.LICENCES + licences.NOTICES}
     assert licences.known_licences(spark, ()).count() == 0
+
+
+def test_words_of_a_batch_are_learned_at_once():
+    names = [language_model.hashed(w) for w in (b"", b"the", b"of")]
+    counts = {names[0]: 9, names[1]: 7, names[2]: 5, language_model.hashed(b"rare"): 2}
+    shape = recurrent.Shape(3, (0, 1), language_model.TAIL_CLASSES)
+    tails = np.arange(language_model.TAIL_CLASSES, dtype=float)
+    model = language_model.LanguageModel(shape, {}, {key: i for i, key in enumerate(names)}, counts, 3 * tails, tails, 23, 4)
+    coder, seen = language_model.Coder(model), []
+    for texts in (["the rare of", None], [], ["new the new rare", "thé of"]):
+        codes = [coder.codes(t if t is None else t.encode()) for t in texts]
+        coder.learn()
+        assert len(coder.input) == len(coder.hash) == len(coder.known) == len(coder.base) == len(coder.own)
+        for text, found in zip(texts, codes, strict=True):
+            for word, code in zip(language_model.words_of(text and text.encode()), found.tolist(), strict=True):
+                key, tail = language_model.hashed(word), language_model.tail_class(word)
+                count = counts.get(key)
+                base = 0.0 if count is None else np.log10(count + 0.5)
+                own = 0.0 if key in names else base - np.log10(3 * tail + 0.5 * (tail + 1))
+                number = names.index(key) if key in names else 3 + tail
+                seen.append(word)
+                assert (coder.input[code], coder.hash[code], coder.known[code]) == (number, key, count is not None)
+                assert (coder.base[code], coder.own[code]) == (base, own)
+    assert len(coder.input) == len(set(seen))

@@ -19,10 +19,12 @@ bounded table; those of other words are joined.
 
 from __future__ import annotations
 
+import functools
 from array import array
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -55,8 +57,13 @@ def hashed(word: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+@functools.lru_cache(1 << 17)
+def _start_class(start: bytes) -> int:
+    return hashed(start) % TAIL_CLASSES
+
+
 def tail_class(word: bytes) -> int:
-    return hashed(word[:2]) % TAIL_CLASSES
+    return _start_class(word[:2])
 
 
 END = b""
@@ -92,9 +99,6 @@ class Known(dict):
         found = self[word] = self.add(word)
         return found
 
-    def of(self, words: list[bytes], kind: type) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), kind, len(words))
-
 
 def numbers_of(outputs: dict[int, int]) -> Known:
     """Input number of each word: that of its output, or that of its tail class."""
@@ -106,39 +110,50 @@ def numbers_of(outputs: dict[int, int]) -> Known:
     return Known(add)
 
 
+def coded(words: list[bytes], numbers: dict[bytes, int], kind: type) -> np.ndarray:
+    """The numbers of words one after the other."""
+    return np.fromiter(map(numbers.__getitem__, words), kind, len(words))
+
+
+def hashes(words: Iterable[bytes]) -> np.ndarray:
+    """``hashed`` of each word."""
+    return np.array([xxhash.xxh64_intdigest(word, 42) for word in words], dtype=np.uint64).view(np.int64)
+
+
 class Coder:
     """Numbers of words for one task: what each adds to a document's sums."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.code = Known(self._add)
+        self.log_tail = np.log10(np.maximum(model.tail_tokens + 0.5 * (model.tail_words + 1), 0.5))
         self._clear()
 
     def _clear(self) -> None:
-        self.code.clear()
-        self.input, self.hash, self.known = array("q"), array("q"), array("b")
+        # Words get the next code when they are first asked for, so the keys are in the order of the codes.
+        self.code: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.input, self.hash, self.known = array("i"), array("q"), array("b")
         self.base, self.own = array("d"), array("d")
 
-    def _add(self, word: bytes) -> int:
-        model, key = self.model, hashed(word)
-        count = model.counts.get(key)
-        seen = 0.0 if count is None else float(np.log10(count + 0.5))
-        number = model.outputs.get(key)
-        if number is None:
-            own = tail_class(word)
-            number = model.shape.words + own
-            inside = seen - float(np.log10(model.tail_tokens[own] + 0.5 * (model.tail_words[own] + 1)))
-        else:
-            inside = 0.0
-        self.input.append(number)
-        self.base.append(seen)
-        self.own.append(inside)
-        self.known.append(int(count is not None))
-        self.hash.append(key)
-        return len(self.input) - 1
+    def learn(self) -> None:
+        """What the words add that were asked for since the last call, all at once."""
+        model, words = self.model, list(islice(self.code, len(self.input), None))
+        keys = hashes(words)
+        counts = np.array([model.counts.get(key, -1) for key in keys.tolist()], dtype=np.float64)
+        known = counts >= 0
+        seen = np.where(known, np.log10(np.maximum(counts, 0) + 0.5), 0.0)
+        inputs = np.array([model.outputs.get(key, -1) for key in keys.tolist()], dtype=np.int64)
+        rest = np.flatnonzero(inputs < 0)
+        inputs[rest] = model.shape.words + np.array([tail_class(words[i]) for i in rest.tolist()], dtype=np.int64)
+        inside = np.zeros(len(words))
+        inside[rest] = seen[rest] - self.log_tail[inputs[rest] - model.shape.words]
+        self.input.frombytes(inputs.astype(np.int32).tobytes())
+        self.hash.frombytes(keys.tobytes())
+        self.known.frombytes(known.astype(np.int8).tobytes())
+        self.base.frombytes(seen.tobytes())
+        self.own.frombytes(inside.tobytes())
 
     def codes(self, text: bytes | None) -> np.ndarray:
-        return self.code.of(words_of(text), np.int64)
+        return coded(words_of(text), self.code, np.int32)
 
     def trim(self) -> None:
         """To be called between batches: codes given before are void after it."""
@@ -149,13 +164,13 @@ class Coder:
 def token_counts(texts: DataFrame, text_col: str) -> DataFrame:
     """(hash, tail, count) of every token of the texts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
 
         def flush() -> pd.DataFrame:
             frame = pd.DataFrame(
                 {
-                    "hash": np.array([hashed(w) for w in found], dtype=np.int64),
+                    "hash": hashes(found),
                     "tail": np.array([tail_class(w) for w in found], dtype=np.int32),
                     "count": np.fromiter(found.values(), np.int64, len(found)),
                 }
@@ -170,7 +185,7 @@ def token_counts(texts: DataFrame, text_col: str) -> DataFrame:
                     yield flush()
         yield flush()
 
-    rows = texts.select(F.col(text_col).cast("binary").alias(text_col)).mapInPandas(count, "hash long, tail int, count long")
+    rows = texts.select(F.col(text_col).cast("binary").alias(text_col)).mapInPandas(counted, "hash long, tail int, count long")
     return rows.groupBy("hash").agg(F.min("tail").alias("tail"), F.sum("count").alias("count"))
 
 
@@ -239,12 +254,12 @@ def _coded(training: DataFrame, outputs: dict[int, int], shards: int, text_col:
         for batch in batches:
             if len(numbers) > CODES_HELD:
                 numbers.clear()
-            tokens = [numbers.of(words_of(text), np.uint16).tobytes() for text in batch["text"]]
+            tokens = [coded(words_of(text), numbers, np.uint16).tobytes() for text in batch["text"]]
             yield pd.DataFrame({"place": batch["place"], "tokens": tokens})
 
     rows = training.select(F.xxhash64(F.monotonically_increasing_id(), text_col).alias("place"), F.col(text_col).cast("binary").alias("text"))
-    coded = rows.mapInPandas(code, "place long, tokens binary")
-    return coded.select(
+    numbered = rows.mapInPandas(code, "place long, tokens binary")
+    return numbered.select(
         F.pmod(F.xxhash64(F.lit("shard"), "place"), F.lit(shards)).cast("int").alias("shard"),
         F.pmod(F.xxhash64(F.lit("round"), "place"), F.lit(ROUNDS)).cast("int").alias("round"),
         "place",
@@ -254,12 +269,12 @@ def _coded(training: DataFrame, outputs: dict[int, int], shards: int, text_col:
 
 def _trained(model: LanguageModel, training: DataFrame, text_col: str, scratch: Scratch) -> LanguageModel:
     shards = max(1, round(model.tokens / SHARD_TOKENS))
-    coded = scratch.write(_coded(training, model.outputs, shards, text_col), "coded")
+    numbered = scratch.write(_coded(training, model.outputs, shards, text_col), "coded")
     names = sorted(model.weights)
     sizes = [model.weights[name].size for name in names]
     weights = model.weights
     for turn in range(ROUNDS):
-        dealt = coded.where(F.col("round") == turn).repartitionById(shards, "shard")
+        dealt = numbered.where(F.col("round") == turn).repartitionById(shards, "shard")
         rows = dealt.sortWithinPartitions("shard", "place").select("shard", "tokens").mapInPandas(
             _shard_trainer(model, weights, names), "block int, part int, tokens long, weights array<float>"
         )
@@ -341,6 +356,7 @@ def score_documents(
             codes = [coder.codes(text) for text in batch[text_col]]
             if not codes:
                 continue
+            coder.learn()
             inputs, base = np.array(coder.input), np.array(coder.base)
             own, known, keys = np.array(coder.own), np.array(coder.known, dtype=bool), np.array(coder.hash)
             # Every text has at least its end, so sums over pieces of the batch are sums over texts.

@@ -97,6 +97,12 @@ def _shares(logits: np.ndarray, bounded: bool) -> np.ndarray:
     return logits
 
 
+def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    logits = states @ weights
+    logits += bias
+    return logits
+
+
 def log_probabilities(weights: Weights, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithm of the class, and the word in it where it is a word, after each state."""
     classes = shape.class_of(targets)
@@ -104,16 +110,18 @@ def log_probabilities(weights: Weights, shape: Shape, states: np.ndarray, target
     bounded = _bounded(weights["class"].T, weights["class_bias"])
     for at in range(0, len(targets), _ROWS):
         part = slice(at, at + _ROWS)
-        out[part] = _log_share(states[part] @ weights["class"] + weights["class_bias"], classes[part], bounded)
+        out[part] = _log_share(_logits(states[part], weights["class"], weights["class_bias"]), classes[part], bounded)
     order = np.argsort(classes, kind="stable")
     cuts = np.searchsorted(classes[order], np.arange(shape.classes + 1))
+    order = order[: cuts[-1]]
+    states, targets, found = states[order], targets[order], out[order]
     for number in range(shape.classes):
-        rows = order[cuts[number] : cuts[number + 1]]
-        span = shape.span(number)
-        if len(rows) and span.stop - span.start > 1:
-            logits = states[rows] @ weights["word"][span].T + weights["word_bias"][span]
+        rows, span = slice(cuts[number], cuts[number + 1]), shape.span(number)
+        if rows.start < rows.stop and span.stop - span.start > 1:
+            logits = _logits(states[rows], weights["word"][span].T, weights["word_bias"][span])
             bounded = _bounded(weights["word"][span], weights["word_bias"][span])
-            out[rows] += _log_share(logits, targets[rows] - span.start, bounded)
+            found[rows] += _log_share(logits, targets[rows] - span.start, bounded)
+    out[order] = found
     return out
 
 
@@ -223,7 +231,7 @@ class Trainer:
         weights, (rows, span), hidden = self.weights, own.shape, state.shape[1]
         own = np.ascontiguousarray(own.T)
         embedded = weights["embed"][own]
-        pre = embedded @ weights["inner"] + weights["bias"]
+        pre = _logits(embedded, weights["inner"], weights["bias"])
         goes_on = (own != self.end).astype(np.float32)[:, :, None]
         before, states, inner = (np.empty((span, rows, hidden), dtype=np.float32) for _ in range(3))
         candidate = np.empty((span, rows, hidden), dtype=np.float32)
@@ -282,23 +290,27 @@ def _output_gradients(weights: Weights, shape: Shape, states: np.ndarray, target
     """Gradients of the mean negative log-likelihood for the output weights and the states."""
     count = len(targets)
     classes = shape.class_of(targets)
-    shares = _shares(states @ weights["class"] + weights["class_bias"], _bounded(weights["class"].T, weights["class_bias"]))
+    logits = _logits(states, weights["class"], weights["class_bias"])
+    shares = _shares(logits, _bounded(weights["class"].T, weights["class_bias"]))
     shares[np.arange(count), classes] -= 1
     back = shares @ weights["class"].T
     grads = {"class": states.T @ shares, "class_bias": shares.sum(axis=0)}
     grads["word"], grads["word_bias"] = np.zeros_like(weights["word"]), np.zeros_like(weights["word_bias"])
     order = np.argsort(classes, kind="stable")
     cuts = np.searchsorted(classes[order], np.arange(shape.classes + 1))
+    order = order[: cuts[-1]]
+    states, targets, by_word = states[order], targets[order], back[order]
     for number in range(shape.classes):
-        rows, span = order[cuts[number] : cuts[number + 1]], shape.span(number)
-        if len(rows) and span.stop - span.start > 1:
+        rows, span = slice(cuts[number], cuts[number + 1]), shape.span(number)
+        if rows.start < rows.stop and span.stop - span.start > 1:
             own, mine = weights["word"][span], states[rows]
             bias = weights["word_bias"][span]
-            shares = _shares(mine @ own.T + bias, _bounded(own, bias))
-            shares[np.arange(len(rows)), targets[rows] - span.start] -= 1
-            back[rows] += shares @ own
+            shares = _shares(_logits(mine, own.T, bias), _bounded(own, bias))
+            shares[np.arange(len(mine)), targets[rows] - span.start] -= 1
+            by_word[rows] += shares @ own
             grads["word_bias"][span] = shares.sum(axis=0)
             grads["word"][span] = shares.T @ mine
+    back[order] = by_word
     back /= count
     return {name: grad / count for name, grad in grads.items()}, back
 

@@ -5,7 +5,8 @@ import random
 import numpy as np
 from plans import planned
 
-from tideline.llm import language_model, licences, packing, queries, recurrent
+from tideline.llm import language_model, licences, packing, queries, recurrent, simhash
+from tideline.llm.texts import lane_table
 
 
 def test_words_learned_are_shared_and_bounded(monkeypatch):
@@ -60,3 +61,23 @@ def test_words_of_a_batch_are_learned_at_once():
                 assert (coder.input[code], coder.hash[code], coder.known[code]) == (number, key, count is not None)
                 assert (coder.base[code], coder.own[code]) == (base, own)
     assert len(coder.input) == len(set(seen))
+
+
+def test_fingerprint_keys_are_made_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TEXTS", 3)
+    monkeypatch.setattr(simhash, "TASK_PRINTS", 40)
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(200)]
+    texts = [" ".join(draw.choices(words, k=30)) for _ in range(120)] + [None, "", "one word"]
+    texts += [texts[i] + " more" for i in range(0, 100, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = simhash.fingerprints(docs)
+    lanes = lane_table()
+    assert {r["doc_id"]: r["fp"] for r in prints.collect()} == {i: simhash.fingerprint(t, 4, lanes) for i, t in enumerate(texts)}
+    classes = prints.select("fp").distinct()
+    keys = simhash._bucketed(classes)
+    assert keys.rdd.getNumPartitions() == -(-classes.count() // 40)
+    assert keys.distinct().count() == keys.count()
+    values = np.array(sorted(r["fp"] for r in classes.collect()), dtype=np.int64)
+    found, rows = simhash.bucket_keys(values, simhash.golay_tables())
+    assert {(r["key"], r["fp"]) for r in keys.collect()} == set(zip(found.tolist(), values[rows].tolist(), strict=True))

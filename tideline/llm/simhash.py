@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator polynomial of the Golay code.
 GENERATOR = 0b101011100011
 MAX_BITS = 4
+#: Texts, and fingerprints with their about 96 keys each, that a task turns into a batch at once.
+TEXTS, PRINTS = 1_024, 512
+#: Fingerprints whose keys one task makes.
+TASK_PRINTS = 8_192
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -123,30 +127,33 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     """(id, fp long) for every row of the documents."""
     lanes = lane_table()
 
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame(
-                {
-                    id_col: batch[id_col],
-                    "fp": np.fromiter((fingerprint(t, shingle, lanes) for t in batch[text_col]), np.int64, len(batch)),
-                }
-            )
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                found = (fingerprint(text.as_py(), shingle, lanes) for text in part.column(1))
+                values = pa.array(np.fromiter(found, np.int64, part.num_rows))
+                yield pa.RecordBatch.from_arrays([part.column(0), values], [id_col, "fp"])
 
     columns = docs.select(id_col, text_col)
     kind = columns.schema[id_col].dataType.simpleString()
-    return columns.mapInPandas(prints, f"`{id_col}` {kind}, fp long")
+    return columns.mapInArrow(prints, f"`{id_col}` {kind}, fp long")
 
 
 def _bucketed(prints: DataFrame) -> DataFrame:
     tables = golay_tables()
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch["fp"].to_numpy(dtype=np.int64)
-            found, rows = bucket_keys(values, tables)
-            yield pd.DataFrame({"key": found, "fp": values[rows]})
-
-    return prints.select("fp").mapInPandas(keys, "key long, fp long")
+            values = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(values), PRINTS):
+                part = values[at : at + PRINTS]
+                found, rows = bucket_keys(part, tables)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(part[rows])], ["key", "fp"])
+
+    # A fingerprint is a few bytes in a file and about 96 keys in a task, so tasks are cut by fingerprints.
+    dealt = prints.select("fp").repartition(max(1, -(-prints.count() // TASK_PRINTS)), "fp")
+    return dealt.mapInArrow(keys, "key long, fp long")
 
 
 def _near(one: str, two: str, max_bits: int):

@@ -81,3 +81,17 @@ def test_fingerprint_keys_are_made_in_bounded_batches(spark, monkeypatch):
     values = np.array(sorted(r["fp"] for r in classes.collect()), dtype=np.int64)
     found, rows = simhash.bucket_keys(values, simhash.golay_tables())
     assert {(r["key"], r["fp"]) for r in keys.collect()} == set(zip(found.tolist(), values[rows].tolist(), strict=True))
+
+
+def test_training_words_of_a_batch_get_their_numbers_at_once(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "hashes", lambda words, f=language_model.hashes: asked.append(list(words)) or f(asked[-1]))
+    asked, end = [], language_model.hashed(b"")
+    outputs = {end: 0, language_model.hashed(b"the"): 1}
+    words = ["the rare of", "", "the rare", "\xa0new of"]
+    learned = language_model.input_numbers([b"the", b"of", b""], language_model.hashes([b"the", b"of", b""]), outputs)
+    assert learned.tolist() == [1, 2 + language_model.tail_class(b"of"), 0] and len(asked) == 1
+    docs = spark.createDataFrame([(t,) for t in words], "text string")
+    rows = language_model._coded(docs, outputs, 2, "text").collect()
+    numbers = language_model.numbers_of(outputs)
+    expected = [np.array([numbers[w] for w in language_model.words_of(t.encode())], dtype=np.uint16).tobytes() for t in words]
+    assert sorted(bytes(r["tokens"]) for r in rows) == sorted(expected)

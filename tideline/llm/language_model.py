@@ -19,7 +19,6 @@ bounded table; those of other words are joined.
 
 from __future__ import annotations
 
-import functools
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -57,13 +56,29 @@ def hashed(word: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-@functools.lru_cache(1 << 17)
-def _start_class(start: bytes) -> int:
-    return hashed(start) % TAIL_CLASSES
+class Known(dict):
+    """A table of words that is filled as words are asked for, by ``add``."""
+
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.add(word)
+        return found
+
+
+#: Tail class of each start of two bytes, of which there are few.
+START_CLASSES = Known(lambda start: hashed(start) % TAIL_CLASSES)
 
 
 def tail_class(word: bytes) -> int:
-    return _start_class(word[:2])
+    return START_CLASSES[word[:2]]
+
+
+def tail_classes(words: Iterable[bytes]) -> np.ndarray:
+    """``tail_class`` of each word."""
+    return np.array([START_CLASSES[word[:2]] for word in words], dtype=np.int32)
 
 
 END = b""
@@ -88,18 +103,6 @@ class LanguageModel:
     distinct: int
 
 
-class Known(dict):
-    """A table of words that is filled as words are asked for, by ``add``."""
-
-    def __init__(self, add):
-        super().__init__()
-        self.add = add
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = self.add(word)
-        return found
-
-
 def numbers_of(outputs: dict[int, int]) -> Known:
     """Input number of each word: that of its output, or that of its tail class."""
 
@@ -120,6 +123,14 @@ def hashes(words: Iterable[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(word, 42) for word in words], dtype=np.uint64).view(np.int64)
 
 
+def input_numbers(words: list[bytes], keys: np.ndarray, outputs: dict[int, int]) -> np.ndarray:
+    """Input number of each word, ``keys`` being its hash: that of its output, or that of its tail class."""
+    found = np.array([outputs.get(key, -1) for key in keys.tolist()], dtype=np.int32)
+    rest = np.flatnonzero(found < 0)
+    found[rest] = len(outputs) + tail_classes([words[i] for i in rest.tolist()])
+    return found
+
+
 class Coder:
     """Numbers of words for one task: what each adds to a document's sums."""
 
@@ -141,12 +152,11 @@ class Coder:
         counts = np.array([model.counts.get(key, -1) for key in keys.tolist()], dtype=np.float64)
         known = counts >= 0
         seen = np.where(known, np.log10(np.maximum(counts, 0) + 0.5), 0.0)
-        inputs = np.array([model.outputs.get(key, -1) for key in keys.tolist()], dtype=np.int64)
-        rest = np.flatnonzero(inputs < 0)
-        inputs[rest] = model.shape.words + np.array([tail_class(words[i]) for i in rest.tolist()], dtype=np.int64)
+        inputs = input_numbers(words, keys, model.outputs)
+        rest = np.flatnonzero(inputs >= model.shape.words)
         inside = np.zeros(len(words))
         inside[rest] = seen[rest] - self.log_tail[inputs[rest] - model.shape.words]
-        self.input.frombytes(inputs.astype(np.int32).tobytes())
+        self.input.frombytes(inputs.tobytes())
         self.hash.frombytes(keys.tobytes())
         self.known.frombytes(known.astype(np.int8).tobytes())
         self.base.frombytes(seen.tobytes())
@@ -171,7 +181,7 @@ def token_counts(texts: DataFrame, text_col: str) -> DataFrame:
             frame = pd.DataFrame(
                 {
                     "hash": hashes(found),
-                    "tail": np.array([tail_class(w) for w in found], dtype=np.int32),
+                    "tail": tail_classes(found),
                     "count": np.fromiter(found.values(), np.int64, len(found)),
                 }
             )
@@ -250,12 +260,16 @@ def _coded(training: DataFrame, outputs: dict[int, int], shards: int, text_col:
     """
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = numbers_of(outputs)
+        held: defaultdict[bytes, int] = defaultdict(count().__next__)
+        numbers = np.zeros(0, dtype=np.uint16)
         for batch in batches:
-            if len(numbers) > CODES_HELD:
-                numbers.clear()
-            tokens = [coded(words_of(text), numbers, np.uint16).tobytes() for text in batch["text"]]
-            yield pd.DataFrame({"place": batch["place"], "tokens": tokens})
+            if len(held) > CODES_HELD:
+                held, numbers = defaultdict(count().__next__), numbers[:0]
+            codes = [coded(words_of(text), held, np.int32) for text in batch["text"]]
+            # The words that are new in the batch get their numbers at once.
+            new = list(islice(held, len(numbers), None))
+            numbers = np.concatenate([numbers, input_numbers(new, hashes(new), outputs).astype(np.uint16)])
+            yield pd.DataFrame({"place": batch["place"], "tokens": [numbers[part].tobytes() for part in codes]})
 
     rows = training.select(F.xxhash64(F.monotonically_increasing_id(), text_col).alias("place"), F.col(text_col).cast("binary").alias("text"))
     numbered = rows.mapInPandas(code, "place long, tokens binary")

@@ -95,3 +95,11 @@ def test_training_words_of_a_batch_get_their_numbers_at_once(spark, monkeypatch)
     numbers = language_model.numbers_of(outputs)
     expected = [np.array([numbers[w] for w in language_model.words_of(t.encode())], dtype=np.uint16).tobytes() for t in words]
     assert sorted(bytes(r["tokens"]) for r in rows) == sorted(expected)
+
+
+def test_fingerprint_keys_move_once(spark, monkeypatch):
+    plans, write = {}, simhash.written
+    monkeypatch.setattr(simhash, "written", lambda frame, path: plans.update({path.rsplit("/", 1)[1]: planned(frame)}) or write(frame, path))
+    prints = spark.createDataFrame([(0,), (1,), (-1,)], "fp long")
+    found = {row["fp"]: row["root"] for row in simhash.link_fingerprints(prints).collect()}
+    assert found[0] == found[1] != found[-1] and plans["members"].count("hashpartitioning(key") == 1

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.components import connected_components
@@ -163,7 +163,7 @@ def _near(one: str, two: str, max_bits: int):
 def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, root) for distinct fingerprints: root names the component they are in.
 
-    Buckets of one fingerprint end at a map-side combined minimum and maximum.
+    Buckets of one fingerprint end at a window over the keys.
     In the others every member is compared with the bucket's smallest one, which
     joins groups of near copies without all their pairs. What then still lies in
     different components is compared pair by pair, for whole buckets, so that no
@@ -172,13 +172,10 @@ def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the keys find pairs of at most {MAX_BITS} differing bits")
     folder = shared_folder(prints.sparkSession)
-    keys = _bucketed(prints)
-    shared = (
-        keys.groupBy("key")
-        .agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
-        .where(F.col("low") != F.col("high"))
-    )
-    members = written(keys.join(shared, "key").select("key", "fp", "low"), f"{folder}/members")
+    # Most buckets have one fingerprint: a window moves the keys once, where an aggregate joined back does so twice.
+    bucket = Window.partitionBy("key")
+    keys = _bucketed(prints).withColumns({"low": F.min("fp").over(bucket), "high": F.max("fp").over(bucket)})
+    members = written(keys.where(F.col("low") != F.col("high")).drop("high"), f"{folder}/members")
     stars = members.where((F.col("fp") != F.col("low")) & _near("fp", "low", max_bits))
     first = connected_components(stars.select("fp", "low").distinct(), "fp", "low")
     placed = written(

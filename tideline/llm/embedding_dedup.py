@@ -6,13 +6,17 @@ are a code of at most 64 bits. Mean, axes and rotation are learned from SAMPLE_R
 smallest hashed id; every vector is coded and indexed. The code is cut into four parts, each
 a table (Norouzi et al. 2012): a vector is stored under its four parts and looked up under these
 and every part that differs in one bit. So all pairs of at most seven differing bits meet, and
-most of more. A pair that meets in several tables counts in the first. Pairs that meet are
+most of more. A pair that meets in several tables counts in the first. Of pairs that meet, those
+whose unit vectors are too far apart already in LANES of the rotated coordinates, kept in a byte
+each, are left out at once: the distance in some coordinates is no more than that in all. The rest are
 compared by the cosine of the original vectors in double precision.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,11 @@ SAMPLE_ROWS = 20_000
 ROTATIONS = 50
 PARTS, PART_BITS = 4, 16
 SEED = 41
+#: Rotated coordinates kept in a byte each, eight to a machine word, and the steps of a byte in a length of one.
+LANES, STEPS = 16, 127.5
+LANE_NAMES = ("lanes", "lanes2")
+#: Keys looked up in one pass over a table, and passes over it at most.
+PASS_KEYS, MOST_PASSES = 32_000_000, 4
 
 
 def learned_rotation(sample: np.ndarray, rounds: int = ROTATIONS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +54,9 @@ def learned_rotation(sample: np.ndarray, rounds: int = ROTATIONS, seed: int = SE
 
 
 def _coded(classes: DataFrame, mean: np.ndarray, projection: np.ndarray) -> DataFrame:
-    """(class, label, code)."""
+    """(class, label, code, lanes, lanes2)."""
+    # Coordinates from all parts: pairs that meet have the signs of one part in common.
+    some = projection[:, np.argsort(np.arange(projection.shape[1]) % PART_BITS, kind="stable")[:LANES]]
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -55,10 +66,35 @@ def _coded(classes: DataFrame, mean: np.ndarray, projection: np.ndarray) -> Data
             signs = np.zeros((len(rows), 64), dtype=np.uint8)
             signs[:, : projection.shape[1]] = (rows - mean) @ projection >= 0
             codes = np.packbits(signs, axis=1, bitorder="little").view(np.int64).ravel()
-            yield pd.DataFrame({"class": batch["class"], "label": batch["label"], "code": codes})
+            lanes = np.zeros((len(rows), LANES), dtype=np.uint8)
+            lanes[:, : some.shape[1]] = np.clip(np.floor((rows @ some + 1) * STEPS), 0, 255)
+            words = lanes.view(np.int64).T
+            yield pd.DataFrame(
+                {"class": batch["class"], "label": batch["label"], "code": codes}
+                | {name: word.copy() for name, word in zip(LANE_NAMES, words, strict=True)}
+            )
 
     kind = classes.schema["label"].dataType.simpleString()
-    return classes.select("class", "label", "vector").mapInPandas(code, f"class long, label {kind}, code long")
+    return classes.select("class", "label", "vector").mapInPandas(
+        code, f"class long, label {kind}, code long, " + ", ".join(f"{name} long" for name in LANE_NAMES)
+    )
+
+
+def least_hashed(classes: DataFrame, number: int, rows: int) -> DataFrame:
+    """(vector, norm) of the ``rows`` classes of smallest hash, in its order; ``number`` is that of all.
+
+    Each task of a sorted limit sends as many rows to the driver, so only little more than the
+    rows are sorted: hashes are even, and the part below a bound is made larger until it has enough.
+    """
+    hashed = classes.withColumn("hashed", F.xxhash64("label", "digest"))
+    share = 1.2 * rows / max(1, number)
+    while share < 1:
+        below = hashed.where(F.col("hashed") < int(share * 2**64) - 2**63)
+        if below.count() >= rows:
+            hashed = below
+            break
+        share *= 2
+    return hashed.orderBy("hashed", "digest").limit(rows).select("vector", "norm")
 
 
 def _part(code: str | Column, number: int) -> Column:
@@ -66,30 +102,53 @@ def _part(code: str | Column, number: int) -> Column:
     return F.shiftrightunsigned(code, number * PART_BITS).bitwiseAND(mask)
 
 
-def _meeting_pairs(coded: DataFrame) -> DataFrame:
-    """(class, class2) of equal label whose codes have a part within one bit; each pair once."""
-    stored = coded.select(
-        F.col("class").alias("class2"),
-        F.col("label").alias("label2"),
-        F.col("code").alias("code2"),
-        F.posexplode(F.array(*[_part("code", t) for t in range(PARTS)])).alias("table2", "key2"),
-    )
-    parts = coded.select("*", F.posexplode(F.array(*[_part("code", t) for t in range(PARTS)])).alias("table", "own"))
+def _near_lanes(one: list[Column], two: list[Column], cosine: float) -> Column:
+    """Whether the lanes leave the cosine possible: rounding down turns each difference by less than a step."""
+    squares = []
+    for word, word2 in zip(one, two, strict=True):
+        for shift in range(0, 64, 8):
+            apart = F.shiftright(word, shift).bitwiseAND(255) - F.shiftright(word2, shift).bitwiseAND(255)
+            squares.append(apart * apart)
+    most = (math.sqrt(max(0.0, 2 - 2 * cosine) + 1e-9) * STEPS + math.sqrt(LANES)) ** 2
+    return sum(squares[1:], squares[0]) <= int(most)
+
+
+def _meeting_pairs(coded: DataFrame, cosine: float, tables: range = range(PARTS), slices: int = 1, number: int = 0) -> DataFrame:
+    """(class, class2) of equal label whose codes have a part within one bit; each pair once.
+
+    Only those that meet in the tables, under keys of one of the slices; without pairs that the lanes show to be too far apart.
+    """
+    part = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), _part("code", t).alias("own")) for t in tables])).alias("at")
+    parts = coded.select("*", part).select(*coded.columns, "at.table", F.col("at.own").alias("key"))
+    stored = parts.toDF(*[f"{name}_" for name in parts.columns])
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << bit).cast("long") for bit in range(PART_BITS)])
-    asked = parts.withColumn("flip", F.explode(flips)).withColumn("key", F.col("own").bitwiseXOR(F.col("flip")))
-    differ = F.col("code").bitwiseXOR(F.col("code2"))
+    asked = parts.withColumn("flip", F.explode(flips)).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+    if slices > 1:
+        asked = asked.where(F.col("key") % slices == number)
+        stored = stored.where(F.col("key_") % slices == number)
+    differ = F.col("code").bitwiseXOR(F.col("code_"))
     first = F.lit(True)
     for table in range(PARTS):
         apart = F.bit_count(_part(differ, table)) > 1
         first = first & (apart | (F.col("table") <= table))
     on = (
-        (F.col("label") == F.col("label2"))
-        & (F.col("table") == F.col("table2"))
-        & (F.col("key") == F.col("key2"))
-        & (F.col("class") < F.col("class2"))
+        (F.col("label") == F.col("label_"))
+        & (F.col("table") == F.col("table_"))
+        & (F.col("key") == F.col("key_"))
+        & (F.col("class") < F.col("class_"))
+        & _near_lanes([F.col(name) for name in LANE_NAMES], [F.col(f"{name}_") for name in LANE_NAMES], cosine)
         & first
     )
-    return asked.join(stored, on).select("class", "class2")
+    return asked.join(stored, on).select("class", F.col("class_").alias("class2"))
+
+
+def _pair_passes(number: int) -> list[tuple[range, int, int]]:
+    """(tables, slices, slice) of each pass over the keys of ``number`` classes, so that one pass's keys at a time are moved."""
+    keys = number * (1 + PART_BITS)
+    if PARTS * keys <= PASS_KEYS:
+        return [(range(PARTS), 1, 0)]
+    slices = min(MOST_PASSES, -(-keys // PASS_KEYS))
+    return [(range(table, table + 1), slices, at) for table in range(PARTS) for at in range(slices)]
 
 
 def embedding_components(
@@ -129,16 +188,20 @@ def embedding_components(
     classes = classes.withColumn("vector", F.transform("vector", lambda x: x / largest))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
     classes = scratch.write(classes.withColumn("norm", norm), "classes")
-    sample = classes.orderBy(F.xxhash64("label", "digest"), "digest").limit(sample_rows).select("vector", "norm").collect()
+    number = classes.count()
+    sample = least_hashed(classes, number, sample_rows).collect()
     if len(sample) < 2:
         links = spark.createDataFrame([], "class long, class2 long")
     else:
         learned = np.array([r["vector"] for r in sample]) / np.array([r["norm"] for r in sample])[:, None]
         coded = scratch.write(_coded(classes, *learned_rotation(learned)), "codes")
-        links = _linked(scratch.write(_meeting_pairs(coded), "pairs"), classes, cosine)
+        pairs = [
+            scratch.write(_meeting_pairs(coded, cosine, *some), f"pairs-{at}") for at, some in enumerate(_pair_passes(number))
+        ]
+        links = _linked(reduce(DataFrame.union, pairs), classes, cosine)
     links = scratch.write(links, "links")
     if len(sample) >= 2:
-        scratch.drop("codes", "pairs")
+        scratch.drop("codes", *[f"pairs-{at}" for at in range(len(pairs))])
     both = links.union(links.select("class2", "class"))
     sizes = classes.select(F.col("class").alias("class2"), "size")
     counts = both.join(sizes, "class2").groupBy("class").agg(F.sum("size").alias("others"))

@@ -5,7 +5,7 @@ import time
 from plans import planned
 from pyspark.sql import functions as F
 
-from tideline.llm import line_dedup
+from tideline.llm import line_dedup, mixing
 from tideline.plans.storage import Scratch
 
 
@@ -32,3 +32,10 @@ def test_written_tables_leave_no_shuffle_files(spark):
         raise AssertionError("shuffle files stay")
     assert table.count() == 7 and sorted(r["count"] for r in table.collect())[0] == 142
     scratch.drop("sevens")
+
+
+def test_mixing_keeps_one_table_of_the_texts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixing, "shared_folder", lambda _: str(tmp_path / "mix"))
+    docs = spark.createDataFrame([(i, "some words of a text", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    assert mixing.mix_sources(docs).rows.count() == 40
+    assert not (tmp_path / "mix" / "sized").exists() and (tmp_path / "mix" / "rows").exists()

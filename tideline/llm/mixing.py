@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideline.llm.texts import word_count
-from tideline.plans.storage import shared_folder, written
+from tideline.plans.storage import remove, shared_folder, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -132,6 +132,7 @@ def mix_sources(
         f"{folder}/sources",
     )
     rows = written(_laid_out(sized, sources), f"{folder}/rows")
+    remove(docs.sparkSession, f"{folder}/sized")
     slots = written(_slots(sources, block_words, shard_slots, f"{folder}/plan"), f"{folder}/slots")
     return Mix(rows, slots, _pieces(rows, slots, block_words))
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.components import connected_components
 from tideline.llm.texts import lane_table, majority
-from tideline.plans.storage import shared_folder, written
+from tideline.plans.storage import remove, shared_folder, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator polynomial of the Golay code.
@@ -151,8 +151,8 @@ def _bucketed(prints: DataFrame) -> DataFrame:
                 found, rows = bucket_keys(part, tables)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(part[rows])], ["key", "fp"])
 
-    # A fingerprint is a few bytes in a file and about 96 keys in a task, so tasks are cut by fingerprints.
-    dealt = prints.select("fp").repartition(max(1, -(-prints.count() // TASK_PRINTS)), "fp")
+    # A fingerprint is a few bytes in a file and about 96 keys in a task, so tasks are cut by fingerprints, and keys are dealt anew from two on.
+    dealt = prints.select("fp").repartition(max(2, -(-prints.count() // TASK_PRINTS)), "fp")
     return dealt.mapInArrow(keys, "key long, fp long")
 
 
@@ -194,6 +194,8 @@ def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     other = open_rows.select("key", F.col("fp").alias("fp2"), F.col("part").alias("part2"))
     on = (open_rows.key == other.key) & (F.col("part") < F.col("part2")) & _near("fp", "fp2", max_bits)
     second = connected_components(open_rows.join(other, on).select("part", "part2").distinct(), "part", "part2")
+    for name in ("members", "placed", "open"):
+        remove(prints.sparkSession, f"{folder}/{name}")
     parts = prints.join(first, prints.fp == first.node, "left").select("fp", F.coalesce("root", "fp").alias("part"))
     return parts.join(second, parts.part == second.node, "left").select("fp", F.coalesce("root", "part").alias("root"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.texts import fold
-from tideline.plans.storage import shared_folder, written
+from tideline.plans.storage import remove, shared_folder, written
 
 GRAM = 5
 PRIOR_DOCS = 50.0
@@ -163,6 +163,8 @@ def fit_toxicity(
     lam, log_k = _extreme_value_law(scans)
     model = ToxicityModel(lexicons[None], lam, log_k, 0.0, 0.0)
     slope, offset = _logistic(scans, model)
+    for name in ("learn", "grams", "scans"):
+        remove(docs.sparkSession, f"{folder}/{name}")
     return ToxicityModel(lexicons[None], lam, log_k, slope, offset)
 
 

@@ -198,10 +198,14 @@ def embedding_components(
         pairs = [
             scratch.write(_meeting_pairs(coded, cosine, *some), f"pairs-{at}") for at, some in enumerate(_pair_passes(number))
         ]
-        links = _linked(reduce(DataFrame.union, pairs), classes, cosine)
+        pairs_met = reduce(DataFrame.union, pairs)
+        ids = pairs_met.select("class").union(pairs_met.select("class2")).distinct()
+        # Both ends of a pair need vectors, but few classes are in one.
+        needed = scratch.write(classes.select("class", "vector", "norm").join(ids, "class", "left_semi"), "needed")
+        links = _linked(pairs_met, needed, cosine)
     links = scratch.write(links, "links")
     if len(sample) >= 2:
-        scratch.drop("codes", *[f"pairs-{at}" for at in range(len(pairs))])
+        scratch.drop("codes", "needed", *[f"pairs-{at}" for at in range(len(pairs))])
     both = links.union(links.select("class2", "class"))
     sizes = classes.select(F.col("class").alias("class2"), "size")
     counts = both.join(sizes, "class2").groupBy("class").agg(F.sum("size").alias("others"))
